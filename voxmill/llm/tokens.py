@@ -167,6 +167,12 @@ class Encoder:
         return pool[T.spread(codes, starts, lengths)], ends[at]
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str, proven: frozenset[bytes] | None = None) -> Counter:
+    """One per worker process, so that its cache outlives a task."""
+    return Counter(path, proven)
+
+
 def count_tokens(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -179,7 +185,7 @@ def count_tokens(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
     proven = spark.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, proven.value)
+        counter = counter_of(path, proven.value)
         for batch in batches:
             for part in slices(batch, 1):
                 data, offsets = T.flat(part.column(1))
