@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, matroska, packing, tokens, urls
+from . import chat, linededup, matroska, mixing, neardup, packing, tokens, toxicity, urls
 from .common import table
 
 
@@ -38,10 +38,19 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op4_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -71,15 +80,27 @@ FROM r
 """
 
 
+def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored(table(spark, sf_dir, "documents"))
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines", "removed_chunks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op4_power_of_two_packing": op4_power_of_two_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_url_vocabulary": op7_url_vocabulary,
+    "op8_pivotal_mixing": op8_pivotal_mixing,
     "op9_matroska_packets": op9_matroska_packets,
+    "op10_line_chunks": op10_line_chunks,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op7_url_vocabulary": _op7_sql()}
