@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, matroska, mixing, neardup, packing, tokens, toxicity, urls
+from . import ann, chat, linededup, matroska, mixing, neardup, packing, tokens, toxicity, urls
 from .common import table
 
 
+def op1_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -93,6 +97,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_stable_projections": op1_stable_projections,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op4_power_of_two_packing": op4_power_of_two_packing,
