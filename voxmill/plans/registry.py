@@ -56,7 +56,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with human_score, predicted, compound, truth and fold."""
     n = F.col("ord")
-    items = reviews(spark, sf_dir).withColumns({"human_score": ((n * 53) % 201 - 100) / 100.0, "predicted": ((n * 53) % 201 - 100) / 100.0 * 0.7 + ((n * 37) % 61 - 30) / 50.0, "compound": ((n * 37) % 201 - 100) / 100.0})
+    items = reviews(spark, sf_dir).withColumns({"human_score": ((n * 53) % 201 - 100) / 100.0, "predicted": ((n * 53) % 201 - 100) / 100.0 * 0.7071067811865 + ((n * 37) % 61 - 30) / 50.0, "compound": ((n * 37) % 201 - 100) / 100.0})
     return ingest.folds(items.withColumn("truth", S.to_label(F.col("human_score"))), 5)
 
 
@@ -69,7 +69,7 @@ _RATINGS = "ratings AS (SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1,
 _SCORED = (
     _REVIEWS
     + """, scored AS (
-  SELECT *, ((ord * 53) % 201 - 100) / 100.0::DOUBLE AS human_score, ((ord * 53) % 201 - 100) / 100.0::DOUBLE * 0.7::DOUBLE + ((ord * 37) % 61 - 30) / 50.0::DOUBLE AS predicted,
+  SELECT *, ((ord * 53) % 201 - 100) / 100.0::DOUBLE AS human_score, ((ord * 53) % 201 - 100) / 100.0::DOUBLE * 0.7071067811865::DOUBLE + ((ord * 37) % 61 - 30) / 50.0::DOUBLE AS predicted,
          ((ord * 37) % 201 - 100) / 100.0::DOUBLE AS compound, CAST(ord % 5 AS INTEGER) AS fold FROM reviews)"""
 )
 _COMPLAINT = "(has_complaint OR sentiment = 'negative')"
