@@ -10,7 +10,7 @@ compared.
 Copies collapse first: documents with the same set are one class, whatever
 their number. In a bucket of classes, each is compared with one of them, drawn
 afresh per band; only where a bucket still holds several components are the
-rest of its pairs compared. So a bucket of near copies costs a comparison a
+members outside the first compared with all. So a bucket of near copies costs a comparison a
 member, and no link between components is left out.
 """
 
@@ -124,7 +124,15 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = min(len(a), len(b)), max(len(a), len(b))
+    if not small or 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (small + large - both)
+
+
+def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets.
 
     Pairs are grouped by a; a group of more than CHUNK is split. A task reads
@@ -134,37 +142,101 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     cut = pairs.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("n")).cast("int"))
     members = cut.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("turn"))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("turn"))
-    asked = heads.unionByName(members)
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    dealt = asked.join(texts, "node").select("a", "part", "turn", "node", "text")
+    dealt = heads.unionByName(members).join(texts.hint("merge"), "node").select("a", "part", "turn", "node", "text")
     dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "turn", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, heads_ = None, []
+        group, held = None, []
         for batch in batches:
             for part in slices(batch, 4):
-                sets = shingle_sets(part.column(4), width)
                 one, other = [], []
-                for a, p, turn, node, s in zip(*(part.column(i).to_pylist() for i in range(4)), sets, strict=True):
+                rows = zip(*(part.column(i).to_pylist() for i in range(4)), shingle_sets(part.column(4), width), strict=True)
+                for a, p, turn, node, s in rows:
                     if (a, p) != group:
-                        group, heads_ = (a, p), []
+                        group, held = (a, p), []
                     if not turn:
-                        heads_.append(s)
+                        held.append(s)
+                    elif any(_linked(s, head, percent) for head in held):
+                        one.append(a)
+                        other.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components of a bucket that don't go through its head.
+
+    placed: key, node, head, component. In a bucket, the members outside the
+    component of the head are held against all members (but the head, which
+    has been compared with each). Only links leave a task, one for a member and
+    another component, so no table of pairs arises. Large buckets are cut
+    into blocks on both sides.
+    """
+    main = placed.filter("node = head").select("key", F.col("component").alias("main"))
+    others = placed.filter("node <> head").join(main, "key")
+    per = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("strays"))
+    per = per.filter("lo <> hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("mb"), F.ceil(F.col("strays") / CHUNK).cast("int").alias("sb"))
+    open_ = written(others.join(per, "key"), "neardup-open")
+    nth = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = open_.filter("component <> main").select("key", F.pmod(nth, F.col("sb")).cast("int").alias("s"), "mb", F.lit(0).alias("turn"), "node", "component").withColumn("m", every("mb"))
+    members = open_.select("key", F.pmod(nth, F.col("mb")).cast("int").alias("m"), "sb", F.lit(1).alias("turn"), "node", "component").withColumn("s", every("sb"))
+    columns = ["key", "s", "m", "turn", "node", "component"]
+    dealt = strays.select(*columns).unionByName(members.select(*columns)).join(texts.hint("merge"), "node").select(*columns, "text")
+    dealt = dealt.repartition("key", "s", "m").sortWithinPartitions("key", "s", "m", "turn", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, table, told = None, [], None, set()
+        for batch in batches:
+            for part in slices(batch, 6):
+                sets = shingle_sets(part.column(6), width)
+                keys = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+                turns, nodes, comps = (part.column(i).to_pylist() for i in (3, 4, 5))
+                one, other, i = [], [], 0
+                while i < len(keys):
+                    if keys[i] != group:
+                        group, held, table, told = keys[i], [], None, set()
+                    if not turns[i]:
+                        held.append((nodes[i], comps[i], sets[i]))
+                        i += 1
                         continue
-                    for head in heads_:
-                        small, large = min(len(s), len(head)), max(len(s), len(head))
-                        if 100 * small < percent * large:
-                            continue
-                        both = len(np.intersect1d(s, head, assume_unique=True))
-                        if both and 100 * both >= percent * (small + large - both):
-                            one.append(a)
-                            other.append(node)
-                            break
+                    j = i
+                    while j < len(keys) and keys[j] == group and turns[j]:
+                        j += 1
+                    if table is None:
+                        table = np.unique(np.concatenate([s for _, _, s in held])) if held else np.zeros(0, np.uint64)
+                    for x, y in _block_links(held, table, nodes[i:j], comps[i:j], sets[i:j], percent, told):
+                        one.append(x)
+                        other.append(y)
+                    i = j
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _block_links(held: list, table: np.ndarray, nodes: list, comps: list, sets: list[np.ndarray], percent: int, told: set) -> Iterator[tuple[int, int]]:
+    """Links of held (node, component, set) with a run of members of other components: all intersections of one held set at once."""
+    if not held or not len(table):
+        return
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(table, flat), len(table) - 1)
+    known = table[at] == flat
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)[known]
+    at = at[known]
+    mark = np.zeros(len(table), bool)
+    for node, component, own in held:
+        place = np.searchsorted(table, own)
+        mark[place] = True
+        both = np.bincount(owner[mark[at]], minlength=len(sets))
+        mark[place] = False
+        for k in np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + len(own) - both))):
+            if comps[k] != component and (node, comps[k]) not in told:
+                told.add((node, comps[k]))
+                yield node, nodes[k]
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -186,22 +258,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     turned = F.xxhash64("key")  # node ^ turned orders a bucket's nodes afresh for each key, and gives the node back
     buckets = bucketed.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turned)).alias("least"), F.count("*").alias("n")).filter("n > 1")
     members = written(bucketed.join(buckets.select("key", F.col("least").bitwiseXOR(turned).alias("head")), "key"), "neardup-members")
-    texts = docs.filter("doc_id IS NOT NULL")
-
-    pairs = written(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "neardup-pairs")
-    links = written(_confirmed(texts, pairs, width, percent), "neardup-confirmed")
-    first = components(links)
-
-    placed = members.join(first, "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_ = written(placed.join(mixed, "key", "left_semi"), "neardup-open")
-    main = open_.filter("node = head").select("key", F.col("component").alias("main"))
-    strays = open_.join(main, "key").filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), "main")
-    # a stray against all of other components; of two strays, the smaller id against the larger
-    rest = strays.join(open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "head"), "key").filter("ca <> cb AND b <> head AND (cb = main OR a < b)")
-    again = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(_confirmed(texts, written(again.join(known, ["a", "b"], "left_anti"), "neardup-pairs"), width, percent), "neardup-confirmed")
+    asked = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = written(docs.join(asked.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "neardup-texts")
+
+    pairs = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(_confirmed(texts, written(pairs, "neardup-pairs"), width, percent), "neardup-confirmed")
+    placed = members.join(components(links), "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("component"))
+    more = written(_across(texts, placed, width, percent), "neardup-confirmed")
 
     # an id with several texts links their classes
     repeated = valid.select("doc_id", "digest").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id")
