@@ -71,7 +71,7 @@ def removals(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE,
     repeated = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     asked = seen.join(repeated, "h").groupBy("_k1", "_k2").agg(F.collect_set("i").alias("_asked"))  # of one document
 
-    found = cut.join(asked, ["_k1", "_k2"]).select("_k1", "_k2", "_lines", "_chunks", F.explode("_asked").alias("i"))
+    found = cut.join(asked.hint("merge"), ["_k1", "_k2"]).select("_k1", "_k2", "_lines", "_chunks", F.explode("_asked").alias("i"))
     chunks = written(found.select("_k1", "_k2", "i", _text(F.col("_lines"), F.col("_chunks")[F.col("i")]).alias("chunk")).filter(F.length(F.trim("chunk")) > 0), "line-repeats")
     place = F.struct("_k1", "_k2", "i")
     first = chunks.groupBy("chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("chunk", "first")
@@ -91,7 +91,7 @@ def dedup_lines(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LIN
     """
     gone = removals(df, divisor, long_line, id_col, text_col)
     keyed = df.select("*", *_keys(id_col, text_col))
-    joined = _chunked(keyed.join(gone, ["_k1", "_k2"], "left"), text_col, divisor, long_line)
+    joined = _chunked(keyed.join(gone.hint("merge"), ["_k1", "_k2"], "left"), text_col, divisor, long_line)
     dropped = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     kept = F.filter(F.col("_chunks"), lambda c, i: ~F.array_contains(dropped, i))
     left = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice("_lines", c["a"], c["n"]))), "\n")
