@@ -46,40 +46,50 @@ def raw_tokens(c: Column) -> Column:
 
 def tokenize(c: Column, stopwords: tuple[str, ...] = STOPWORDS, min_length: int = 3) -> Column:
     """raw_tokens without stop words and short ones."""
-    stop = F.array(*(F.lit(w) for w in stopwords))
-    return F.filter(raw_tokens(c), lambda t: (F.length(t) >= min_length) & ~F.array_contains(stop, t))
-
-
-def stem(w: Column) -> Column:
-    """Common English inflections merged: one suffix rule, then a silent e."""
-    w = F.lower(w)
-    n = F.length(w)
-
-    def cut(k: int) -> Column:
-        return F.substring(w, F.lit(1), n - k)
-
-    def fixed(base: Column) -> Column:
-        doubled = F.regexp_replace(base, r"^(.+)([^aeiou])\2$", "$1$2")
-        return F.when(F.length(base) >= 3, doubled).otherwise(base)
-
-    def ends(*suffixes: str) -> Column:
-        out = w.endswith(suffixes[0])
-        for s in suffixes[1:]:
-            out = out | w.endswith(s)
-        return out
-
-    cutting = (
-        F.when(ends("ing") & (n > 6), fixed(cut(3)))
-        .when(ends("ed") & (n > 5), fixed(cut(2)))
-        .when(ends("ies") & (n > 6), F.concat(cut(3), F.lit("y")))
-        .when(ends("ches", "shes", "xes", "sses", "zes") & (n > 6), cut(2))
-        .when(ends("es") & (n > 5), cut(1))
-        .when(ends("s") & ~ends("ss", "us", "is"), cut(1))
-        .when(ends("ly") & (n > 6), cut(2))
-        .otherwise(w)
-    )
-    silent = F.regexp_replace(cutting, r"^(.{3,}[^eyo])e$", "$1")
-    return F.when(n <= 4, w).otherwise(silent)
+    return F.filter(raw_tokens(c), lambda t: (F.length(t) >= min_length) & ~t.isin(*stopwords))  # becomes a hash set
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chop(w: Column, k: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - k)
+
+
+def _ends(w: Column, *suffixes: str) -> Column:
+    out = w.endswith(suffixes[0])
+    for s in suffixes[1:]:
+        out = out | w.endswith(s)
+    return out
+
+
+def _undouble(base: Column) -> Column:
+    """Without the second of two equal consonants at the end."""
+    last = F.right(base, F.lit(1))
+    return F.when((F.length(base) >= 3) & (last == F.substring(base, -2, 1)) & ~last.isin("a", "e", "i", "o", "u"), _chop(base, 1)).otherwise(base)
+
+
+def stem(w: Column, lowered: bool = False) -> Column:
+    """Common English inflections merged: one suffix rule, then a silent e. lowered: the words are lower-case already."""
+
+    def rules(w: Column) -> Column:
+        n = F.length(w)
+        cut = (
+            F.when(_ends(w, "ing") & (n > 6), _let(_chop(w, 3), _undouble))
+            .when(_ends(w, "ed") & (n > 5), _let(_chop(w, 2), _undouble))
+            .when(_ends(w, "ies") & (n > 6), F.concat(_chop(w, 3), F.lit("y")))
+            .when((n > 6) & _ends(w, "ches", "shes", "xes", "sses", "zes"), _chop(w, 2))
+            .when(_ends(w, "es") & (n > 5), _chop(w, 1))
+            .when(_ends(w, "s") & ~_ends(w, "ss", "us", "is"), _chop(w, 1))
+            .when(_ends(w, "ly") & (n > 6), _chop(w, 2))
+            .otherwise(w)
+        )
+        silent = lambda c: F.when(c.endswith("e") & (F.length(c) > 4) & ~_ends(c, "ee", "ye", "oe"), _chop(c, 1)).otherwise(c)
+        return F.when(n <= 4, w).otherwise(_let(cut, silent))
+
+    return rules(w) if lowered else _let(F.lower(w), rules)
 
 
 def bigrams(tokens: Column) -> Column:

@@ -20,7 +20,7 @@ SIGNIFICANT = 1.96
 def terms_column(title: str = "title", text: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Stems, then bigrams of stems, of title and text."""
     joined = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))
-    return F.transform(tokenize(joined, stopwords), stem)
+    return F.transform(tokenize(joined, stopwords), lambda w: stem(w, lowered=True))
 
 
 def document_terms(df: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
@@ -39,8 +39,15 @@ def _z() -> Column:
     return (odds(y, nt) - odds(r, nr)) / F.sqrt(1.0 / (y + a) + 1.0 / (r + a))
 
 
-def log_odds(terms: DataFrame, min_count: int = 3, by: tuple[str, ...] = (), times: Column | None = None) -> DataFrame:
-    """by..., term, count, z (unrounded), docs, target_docs, first; terms with count >= min_count. times: how often a document counts."""
+def document_sizes(df: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """ord, complaint, terms: how many terms a document has. Stems and bigrams follow from the number of tokens, so nothing is exploded."""
+    joined = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    n = F.size(tokenize(joined, stopwords))
+    return df.select("ord", is_complaint().alias("complaint"), (n + F.greatest(n - 1, F.lit(0))).alias("terms"))
+
+
+def log_odds(terms: DataFrame, sizes: DataFrame, min_count: int = 3, by: tuple[str, ...] = (), times: Column | None = None) -> DataFrame:
+    """by..., term, count, z (unrounded), docs, first; terms with count >= min_count. times: how often a document counts."""
     t = F.lit(1) if times is None else times
     hit = F.col("complaint")
     counts = terms.groupBy(*by, "term").agg(
@@ -49,9 +56,10 @@ def log_odds(terms: DataFrame, min_count: int = 3, by: tuple[str, ...] = (), tim
         F.sum(F.when(hit, t).otherwise(0)).alias("docs"),
         F.min(F.when(hit, F.shiftleft("ord", 20) + F.least("pos", F.lit((1 << 20) - 1)))).alias("first"),  # one long, so that the aggregate stays hash-based
     )
-    totals = counts.groupBy(*by).agg(F.sum("y").alias("n_target"), F.sum("r").alias("n_rest"))
-    joined = counts.join(F.broadcast(totals), list(by)) if by else counts.crossJoin(F.broadcast(totals))  # one row per group of `by`
-    return joined.filter(F.col("y") >= min_count).select(*by, "term", F.col("y").alias("count"), _z().alias("z"), "docs", "first")
+    totals = sizes.groupBy(*by).agg(F.sum(F.when(hit, F.col("terms") * t).otherwise(0)).alias("n_target"), F.sum(F.when(hit, 0).otherwise(F.col("terms") * t)).alias("n_rest"))
+    frequent = counts.filter(F.col("y") >= min_count)
+    joined = frequent.join(F.broadcast(totals), list(by)) if by else frequent.crossJoin(F.broadcast(totals))  # one row per group of `by`
+    return joined.select(*by, "term", F.col("y").alias("count"), _z().alias("z"), "docs", "first")
 
 
 def negative_keywords(df: DataFrame, top_n: int = 15, min_count: int = 3, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
@@ -59,7 +67,7 @@ def negative_keywords(df: DataFrame, top_n: int = 15, min_count: int = 3, stopwo
 
     Sorted by the rounded score, ties by first appearance. No complaints: empty.
     """
-    found = log_odds(document_terms(df, stopwords), min_count).filter(F.col("z").isNotNull())
+    found = log_odds(document_terms(df, stopwords), document_sizes(df, stopwords), min_count).filter(F.col("z").isNotNull())
     size = df.agg(F.count_if(is_complaint()).alias("size"))
     scored = found.crossJoin(F.broadcast(size)).select("term", "count", rounded(F.col("z")).alias("z_score"), (F.abs("z") >= SIGNIFICANT).alias("significant"), percent(F.col("docs"), F.col("size")).alias("share_of_corpus"), "first")
     top = scored.orderBy(F.desc("z_score"), "first", "term").limit(top_n)
@@ -78,8 +86,8 @@ def bootstrap_stability(df: DataFrame, draws: DataFrame, top_n: int = 10, min_co
     and all resamples are scored in one aggregation.
     """
     terms = document_terms(df, stopwords)
-    drawn = terms.join(draws, "ord")
-    scored = log_odds(drawn, min_count, ("rep",), F.col("times")).filter(F.col("z").isNotNull())
+    drawn, sizes = terms.join(draws, "ord"), document_sizes(df, stopwords).join(draws, "ord")
+    scored = log_odds(drawn, sizes, min_count, ("rep",), F.col("times")).filter(F.col("z").isNotNull())
     order = Window.partitionBy("rep").orderBy(rounded(F.col("z")).desc(), "first", "term")
     kept = scored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top_n)
     today = negative_keywords(df, top_n, min_count, stopwords).select("term", "rank")
