@@ -30,12 +30,13 @@ from .common import bounded_batches, slices, written
 #: Labelled rows that are learned from, at most: those first in the order of a hash of their ids.
 EXAMPLES = 6000
 TERMS = 4096
+SIGNIFICANT = 24.0  # chi-square: one in a million by chance, as a sample has some millions of terms
 NEIGHBOURS = 15
 BLOCK = 64
 GRAMS = (3, 4, 5)
 BEGINNINGS = (4, 5, 6, 7, 8)
 LONGEST_WORD = 64  # a longer run of letters counts as a word, its grams come from its ends
-CACHE = 400_000
+CACHE = 500_000  # strings whose terms a worker remembers; most have none
 
 _WORD = re.compile(r"\w+")
 
@@ -61,8 +62,21 @@ class Vectors:
     """Term counts of whole texts, for the chosen terms."""
 
     def __init__(self, terms: list[str]):
+        import ahocorasick
+
         self.index = {t: i for i, t in enumerate(terms)}
         self.known: dict[bytes, tuple[int, ...]] = {}
+        bare, self.hits = ahocorasick.Automaton(), None  # a string with none of the terms' letters in a row has no term
+        for t in terms:
+            bare.add_word(t.lstrip("^="), True)
+        if terms:
+            bare.make_automaton()
+            self.hits = bare.iter
+
+    def terms(self, raw: bytes) -> tuple[int, ...]:
+        if self.hits is None or next(self.hits(raw.decode("utf-8", "replace").lower()), None) is None:
+            return ()
+        return tuple(sorted(self.index[t] for t in terms_of(raw) if t in self.index))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) triples by text and term."""
@@ -73,7 +87,7 @@ class Vectors:
         for raw in distinct.to_pylist():
             own = known.get(raw)
             if own is None:
-                own = known[raw] = tuple(sorted(index[t] for t in terms_of(raw) if t in index))
+                own = known[raw] = self.terms(raw)
             lists.append(own)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         hit = np.flatnonzero(lengths[codes])
@@ -85,6 +99,16 @@ class Vectors:
         return keys // max(len(index), 1), keys % max(len(index), 1), n
 
 
+_last: list[Vectors] = []
+
+
+def vectors_of(terms: list[str]) -> Vectors:
+    """A worker keeps one, so that the cache goes from task to task and never holds more than one model's."""
+    if not _last or list(_last[0].index) != terms:
+        _last[:] = [Vectors(terms)]
+    return _last[0]
+
+
 @dataclass
 class Index:
     """Unit TF-IDF vectors of the examples as block-max postings."""
@@ -215,7 +239,7 @@ def _choose(sample: DataFrame, n_terms: int) -> list[str]:
         return []
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = (a * (q - b) - b * (p - a)) ** 2 * (p + q) / (F.lit(p * q) * (a + b) * F.greatest(F.lit(p + q) - a - b, F.lit(0.5)))
-    best = counts.withColumn("chi", chi).filter("chi > 10.83").orderBy(F.desc("chi"), "term").limit(n_terms)  # significant at 0.001
+    best = counts.withColumn("chi", chi).filter(F.col("chi") > SIGNIFICANT).orderBy(F.desc("chi"), "term").limit(n_terms)
     return [r["term"] for r in best.select("term").collect()]
 
 
@@ -223,7 +247,7 @@ def _frequencies(documents: DataFrame, terms: list[str]) -> tuple[int, np.ndarra
     """Number of documents, and of documents with each term: over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, df, n = Vectors(terms), np.zeros(len(terms) + 1, np.int64), 0
+        vectors, df, n = vectors_of(terms), np.zeros(len(terms) + 1, np.int64), 0
         for batch in batches:
             for part in slices(batch, 0):
                 _, term, _ = vectors(part.column(0))
@@ -298,11 +322,17 @@ def _calibrate(model: Model, rows: list) -> None:
     model.slope, model.shift = float(max(beta[0], 0.0)), float(beta[1])
 
 
-def _scored(model: Model, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    doc, term, count = Vectors(model.terms)(texts) if not hasattr(model, "vectors") else model.vectors(texts)
+def _scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """The score of each text. known: results by equal term counts, which short vectors often have."""
+    doc, term, count = vectors_of(model.terms)(texts)
+    if len(known) > 50_000:
+        known.clear()
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield model.score(term[a:b], count[a:b].astype(float))
+        key = term[a:b].tobytes() + count[a:b].tobytes()
+        if key not in known:
+            known[key] = model.score(term[a:b], count[a:b].astype(float))
+        yield known[key]
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,13 +349,11 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        if not hasattr(own, "vectors"):  # stays with the worker
-            own.vectors = Vectors(own.terms)
+        own, known = sent.value, {}
         for batch in batches:
             for part in slices(batch, 1):
                 scores, evidence = [], []
-                for s, found, cosines in _scored(own, part.column(1)):
+                for s, found, cosines in _scored(own, part.column(1), known):
                     scores.append(s)
                     evidence.append([{"doc_id": int(own.index.ids[p]), "cosine": float(c), "toxic": int(own.index.labels[p])} for p, c in zip(found[:3], cosines[:3], strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(evidence, held)], ["id", "score", "evidence"])
@@ -340,11 +368,9 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
     sent, column = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        if not hasattr(own, "vectors"):  # stays with the worker
-            own.vectors = Vectors(own.terms)
+        own, known = sent.value, {}
         for batch in batches:
             for part in slices(batch, column):
-                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(own, part.column(column))], pa.bool_()))
+                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(own, part.column(column), known)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
