@@ -16,13 +16,13 @@ class ProviderError(RuntimeError):
 
 def actions_and_summary(rating: dict, sentiment: dict, found: list[dict], corpus: int) -> tuple[list[str], str]:
     """Advice for the five largest themes, and one paragraph."""
-    actions = [f"{t['theme']}: mentioned in {t['share_of_negative']}% of complaint reviews ({t['negative_reviews']} of {corpus}). {t['recommendation']}" for t in found[:5]]
     share = sentiment["percentages"]
+    actions = [f"{t['theme']} ({t['negative_reviews']}/{corpus} complaints, {t['share_of_negative']}%): {t['recommendation']}" for t in found[:5]]
     if rating["average_rating"] >= 4.5 and share["negative"] < 15:
-        actions.append("Overall sentiment is healthy: ask satisfied users for a rating at a good moment.")
-    top = f"Top pain point: {found[0]['theme']}." if found else "No dominant pain point detected."
-    summary = f"{rating['total_reviews']} reviews analysed, average rating {rating['average_rating']}/5. {share['positive']}% positive, {share['neutral']}% neutral, {share['negative']}% negative ({corpus} reviews contain some complaint, including net-positive ones). {top}"
-    return actions, summary
+        actions.append("Most users are content: ask them for a rating when something has just gone well.")
+    moods = ", ".join(f"{c} {share[c]}%" for c in share)
+    worst = f"Most complaints are about: {found[0]['theme']}." if found else "No theme stands out."
+    return actions, f"Over {rating['total_reviews']} reviews the mean rating is {rating['average_rating']} of 5; {moods}; {corpus} complain about something. {worst}"
 
 
 def build(prepared: DataFrame) -> dict:
