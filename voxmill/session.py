@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers."""
+"""What operators need of a session: this package in Python workers, and a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -23,3 +23,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder; a temporary one only where Spark runs in this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="voxmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
