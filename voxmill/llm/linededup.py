@@ -100,4 +100,5 @@ def dedup_lines(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LIN
     added = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")), "removed_lines": removed, "removed_chunks": F.size(dropped), text_col: text}
     out = joined.withColumns({f"_new_{k}": v for k, v in added.items()})
     base = [F.col(f"_new_{text_col}").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("n_lines", "removed_lines", "removed_chunks")]
-    return out.select(*base, *(F.col(f"_new_{c}").cast("int").alias(c) for c in ("n_lines", "removed_lines", "removed_chunks")))
+    final = [*base, *(F.col(f"_new_{c}").cast("int").alias(c) for c in ("n_lines", "removed_lines", "removed_chunks"))]
+    return out.select(F.inline(F.array(F.struct(*final))))  # a caller's filter stays above; pushed below, it would repeat the work above for each use of a column
