@@ -71,3 +71,53 @@ def test_odd_rows(spark, odd_docs):
     assert len(rows) == odd_docs.count() and set(odd_docs.columns) <= set(out.columns)
     assert sum(r["text"] is None for r in rows) == 2 and {r["n_lines"] for r in rows if r["text"] is None} == {0}
     assert linededup.dedup_lines(odd_docs.limit(0)).count() == 0
+
+
+def plain_left(before, after, least=50):
+    """Stretches of whole lines with more than `least` words that stood in two documents and stand in two still."""
+    def stretches(text):
+        lines = [x for x in text.split("\n") if x.split()]
+        out = set()
+        for i in range(len(lines)):
+            n = 0
+            for j in range(i, len(lines)):
+                n += len(lines[j].split())
+                if n > least:
+                    out.add("\n".join(lines[i : j + 1]))
+                    break
+        return out
+
+    seen, left = set(), set()
+    for k in sorted(after):
+        own = stretches(after[k]) & stretches(before[k])
+        left |= own & seen
+        seen |= own
+    return left
+
+
+def test_no_repeated_stretch_is_left(spark):
+    """Passages of short lines, in contexts of their own, go whole but for the first, whatever their chunks are."""
+    r, texts, own, place = random.Random(8), {}, {}, 0
+    for n, width in [(3, 20), (5, 12), (8, 12), (20, 12), (60, 1), (2, 30)] * 6:
+        passage = ["".join(f"p{place}l{i} " * width).strip() + f" {r.random()}" for i in range(n)]
+        for copy in range(2):
+            k = place * 2 + copy
+            own[k] = filler(f"a{k}", 3) + filler(f"b{k}", 2)
+            texts[k] = "\n".join(own[k][:3] + passage + own[k][3:])
+        place += 1
+    got = run(spark, list(texts.items()))
+    assert all(got[k]["text"] == (texts[k] if k % 2 == 0 else "\n".join(own[k])) for k in texts)
+    assert all(got[k]["removed_lines"] == got[k]["n_lines"] - len(got[k]["text"].split("\n")) for k in texts)
+    assert plain_left(texts, texts) and not plain_left(texts, {k: g["text"] for k, g in got.items()})
+
+
+def test_first_occurrence_stays_in_periodic_text(spark):
+    line = "one two three four five six seven eight nine ten"
+    got = run(spark, [(1, "\n".join([line] * 40)), (2, "\n".join(["own line", *[line] * 6, "end"]))], divisor=1 << 40)
+    assert got[1]["text"] == "\n".join([line] * 5) and got[2]["text"] == "own line\nend"
+
+
+def test_no_repeated_stretch_in_documents(spark, documents):
+    before = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    after = {r["doc_id"]: r["text"] or "" for r in linededup.dedup_lines(documents).collect()}
+    assert not plain_left(before, after)
