@@ -88,3 +88,10 @@ def test_no_labels(spark, planted):
     assert {r["score"] for r in X.score(docs, X.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert X.fit(docs.limit(0), labels).terms == []
     assert {r["predicted"] for r in X.score(docs, X.fit(docs, labels.filter("toxic = 1"))).collect()} == {1}
+
+
+def test_terms_are_chosen_by_rank(spark, planted):
+    docs, labels = planted
+    assert len(X.fit(docs, labels, n_terms=500).terms) == 500
+    few = labels.filter("doc_id < 20 AND toxic IS NOT NULL")  # no term of so few documents has a chi-square over their number
+    assert "=moron" in X.fit(docs, few).terms
