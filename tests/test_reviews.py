@@ -198,3 +198,10 @@ def test_stream(spark, tmp_path):
     got = []
     R.start(R.deduplicated(stream), lambda df, n: got.extend(r["id"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(got) == ["a", "b"]
+
+
+def test_bootstrap_query_has_200_resamples(spark, sf_dir):
+    from voxmill.plans import registry
+
+    rows = registry.QUERIES["bootstrap_stability"](spark, sf_dir).collect()
+    assert max(r["survived"] for r in rows) > 20 and all(abs(r["percent"] - r["survived"] / 2) < 0.1 for r in rows)

@@ -565,7 +565,7 @@ def cross_validate(spark, sf_dir):
 @query()
 def bootstrap_stability(spark, sf_dir):
     own = ingest.with_position(reviews(spark, sf_dir).drop("ord").withColumn("key", F.col("id").cast("long")), "key")
-    return keywords.bootstrap_stability(own, ingest.bootstrap_draws(spark, own.count(), 20), reps=20)
+    return keywords.bootstrap_stability(own, ingest.bootstrap_draws(spark, own.count(), 200), reps=200)
 
 
 @query()
