@@ -1,50 +1,117 @@
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from voxmill.llm import queries as Q
 from voxmill.llm import toxicity as X
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("wide", [0, 20, 512])
+def test_nearest_is_exact(monkeypatch, wide):
+    monkeypatch.setattr(X, "WIDE", wide)
     r = np.random.default_rng(3)
     n, v = 700, 60
-    rows, terms, weights = [], [], []
+    rows, terms, counts = [], [], []
     for i in range(n):
         t = np.sort(r.choice(v, r.integers(1, 8), replace=False))
-        w = r.random(len(t)) + 0.1
         rows += [i] * len(t)
         terms += t.tolist()
-        weights += (w / np.linalg.norm(w)).tolist()
-    row, term, weight = np.array(rows), np.array(terms), np.array(weights)
+        counts += r.integers(1, 5, len(t)).tolist()
+    row, term, count = np.array(rows), np.array(terms), np.array(counts, float)
+    factor = r.random(v) * (np.arange(v) > 3)
     dense = np.zeros((n, v))
-    dense[row, term] = weight
+    dense[row, term] = (1 + np.log(count)) * factor[term]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-300)[:, None]
     ids = r.permutation(n) + 10
-    index = X.Index.build(ids, np.zeros(n), row, term, weight, np.ones(v))
-    for _ in range(60):
-        t = np.sort(r.choice(v, r.integers(1, 9), replace=False))
-        w = r.random(len(t))
-        w /= np.linalg.norm(w)
-        found, cosines = index.nearest(t, w, 15)
+    index = X.Index.build(ids, np.arange(n) % 2, row, term, count, factor)
+    for asked in range(60):
+        t, w = index.weigh(np.sort(r.choice(v, r.integers(1, 9), replace=False)), np.ones(1))
+        own = asked if asked % 3 == 0 else -1
+        found, cosines = index.nearest(t, w, 15, own)
         q = np.zeros(v)
         q[t] = w
         want = dense @ q
+        if own >= 0:
+            want[np.flatnonzero(ids == index.ids[own])] = 0
         order = [i for i in np.lexsort((ids, -np.round(want, 12))) if want[i] > 0][:15]
         assert np.allclose(cosines, want[order]) and index.ids[found].tolist() == ids[order].tolist()
 
 
 def test_terms():
-    got = X.terms_of("«Moron!»".encode())
-    assert {"=moron", "^moro", "^moron", "mor", "oron", "moron"} <= got and not any("!" in t or "«" in t for t in got)
-    assert X.terms_of(b"") == set() and X.terms_of("x".encode() * 100_000)
+    assert X.terms_of("«Moron!»".encode()) == ["=moron", "^moro", "^moron"]
+    assert X.terms_of(b"") == [] and X.terms_of("x".encode() * 100_000)
+    assert {"毒物", "字毒物"[:3]} & set(X.terms_of(("字" * 40 + "毒物毒" + "字" * 60).encode())) and "毒物毒" in X.terms_of(("字" * 40 + "毒物毒" + "字" * 60).encode())
 
 
 def test_vectors_count_whole_texts():
-    v = X.Vectors(["=bad", "^badl", "bad"])
-    doc, term, n = v(pa.array(["Bad bad. badly", None, "", "good " * 5000 + "bad"]))
-    assert list(zip(doc.tolist(), term.tolist(), n.tolist(), strict=True)) == [(0, 0, 2), (0, 1, 1), (0, 2, 3), (3, 0, 1), (3, 2, 1)]
+    codes = np.sort(np.array(X.codes_of(b"bad") + X.codes_of(b"badly"), np.uint64))
+    at = {t: int(np.searchsorted(codes, np.uint64(c))) for t, c in zip(("bad", "badly", "^badl", "^badly"), X.codes_of(b"bad") + X.codes_of(b"badly"), strict=True)}
+    for _ in range(2):
+        v = X.Vectors(codes)
+        doc, term, n = v(pa.array(["Bad bad. badly", None, "", "good " * 5000 + "bad"]))
+        want = sorted([(0, at["bad"], 2), (0, at["badly"], 1), (0, at["^badl"], 1), (0, at["^badly"], 1), (3, at["bad"], 1)])
+        assert list(zip(doc.tolist(), term.tolist(), n.tolist(), strict=True)) == want
+    doc, term, n = X.Vectors()(pa.array(["Bad bad. badly", None]))
+    assert sorted(n.tolist()) == [1, 1, 1, 2] and set(term.tolist()) == set(codes.tolist()) and set(doc.tolist()) == {0}
+
+
+def plain_terms(text):
+    out = Counter()
+    for w in re.findall(r"\w+", text.lower()):
+        out.update({"=" + w, *("^" + w[:n] for n in (4, 5, 6) if len(w) >= n), *(w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1) if len(w) > 24)})
+    return out
+
+
+def test_query_against_plain_version(spark, sf_dir, documents):
+    """Neighbours, votes and scores of every document by dictionaries; the curve by its condition for a minimum."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = X.fit(documents, labels)
+    got = {r["doc_id"]: r for r in Q.op5_toxicity(spark, sf_dir).collect()}
+    texts = {r["doc_id"]: plain_terms(r["text"] or "") for r in documents.collect()}
+    learn = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts}
+    df, hits, has = Counter(), Counter(), Counter()
+    for t in texts.values():
+        df.update(t.keys())
+    for i, y in learn.items():
+        has.update(texts[i].keys())
+        hits.update(dict.fromkeys(texts[i], y))
+    p, q = sum(learn.values()), len(learn) - sum(learn.values())
+    factor = {}
+    for t, n in has.items():
+        a, b = hits[t], n - hits[t]
+        chi = (a * (q - b) - b * (p - a)) ** 2 * (p + q) / (p * q * n * max(p + q - n, 0.5))
+        factor[t] = (math.log((len(texts) + 1) / (df[t] + 1)) + 1) * math.sqrt(chi)
+
+    def unit(c):
+        w = {t: (1 + math.log(n)) * factor[t] for t, n in c.items() if factor.get(t)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    index = {i: unit(texts[i]) for i in learn}
+
+    def odds(own, without=None):
+        near = sorted(((-round(sum(x * e.get(t, 0) for t, x in own.items()), 12), i) for i, e in index.items() if i != without))
+        near = [(i, -s) for s, i in near if s < 0][:15]
+        w = [1 / (1.05 - min(s, 1)) for _, s in near]
+        raw = (sum(x for x, (i, _) in zip(w, near, strict=True) if learn[i]) + 0.02) / (sum(w) + 0.04)
+        return near, math.log(raw / (1 - raw))
+
+    assert set(got) == set(texts)
+    for i, c in texts.items():
+        near, x = odds(unit(c))
+        found = [(e["doc_id"], e["cosine"]) for e in got[i]["evidence"]]
+        assert [s for _, s in found] == pytest.approx([s for _, s in near], abs=1e-9)
+        assert all(a == b for (a, s), (b, _) in zip(found, near, strict=True) if sum(abs(s - o) < 1e-9 for _, o in near) == 1)
+        want = 1 / (1 + math.exp(-(model.slope * x + model.shift))) if near else model.base
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9)
+    x = np.array([odds(index[i], i)[1] for i in learn])
+    y, p = np.array(list(learn.values())), 1 / (1 + np.exp(-(model.slope * x + model.shift)))
+    assert abs(((p - y) * x).sum() + model.slope - 1) < 1e-3 and abs((p - y).sum() + model.shift) < 1e-3
 
 
 @pytest.fixture(scope="module")
@@ -86,12 +153,22 @@ def test_odd_rows(spark, planted, odd_docs):
 def test_no_labels(spark, planted):
     docs, labels = planted
     assert {r["score"] for r in X.score(docs, X.fit(docs, labels.limit(0))).collect()} == {0.0}
-    assert X.fit(docs.limit(0), labels).terms == []
+    assert X.fit(docs.limit(0), labels).index is None
     assert {r["predicted"] for r in X.score(docs, X.fit(docs, labels.filter("toxic = 1"))).collect()} == {1}
 
 
-def test_terms_are_chosen_by_rank(spark, planted):
+def test_all_neighbours_are_evidence(spark, planted):
     docs, labels = planted
-    assert len(X.fit(docs, labels, n_terms=500).terms) == 500
-    few = labels.filter("doc_id < 20 AND toxic IS NOT NULL")  # no term of so few documents has a chi-square over their number
-    assert "=moron" in X.fit(docs, few).terms
+    rows = X.score(docs, X.fit(docs, labels)).collect()
+    assert {len(r["evidence"]) for r in rows} == {15}
+    assert all(r["evidence"] == sorted(r["evidence"], key=lambda e: (-e["cosine"], e["doc_id"])) for r in rows)
+
+
+def test_ties_and_repeats(spark):
+    """Equal texts get equal scores, and of examples with equal cosines the smaller ids vote."""
+    docs = spark.createDataFrame([(i, "calm words here" if i % 2 else "foul moron here") for i in range(200)] + [(6, "foul moron here")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = X.score(docs, X.fit(docs, labels)).collect()
+    assert len(rows) == 203 and len({(r["score"], r["doc_id"] % 2) for r in rows}) == 2
+    first = [i for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 5][:15]
+    assert all([e["doc_id"] for e in r["evidence"]] == first for r in rows if r["doc_id"] % 2 == 0)

@@ -1,13 +1,22 @@
 """Toxicity by nearest labelled examples.
 
-Terms are whole words, their beginnings of 4 to 8 letters and their character
-3- to 5-grams. A bounded sample of
-labelled documents chooses the terms that tell the labels apart (chi-square)
-and supplies the examples; document frequencies come from all documents. A
-document's nearest examples by exact TF-IDF cosine are found in an inverted
-index: the postings of its terms are added up by example, which for some tens
-of terms takes less time than leaving out what cannot be near. The
-neighbours vote with weights by distance, and a logistic curve fitted on
+A text's terms are its words, their beginnings of 4 to 6 letters and, of a run
+of letters longer than LONG (scripts without spaces, joined words), all
+character grams too. Every term of the labelled examples is indexed. A term
+weighs (1 + ln tf) * idf, with document frequencies of all documents, times
+the root of its chi-square with the labels among the examples: plain TF-IDF
+finds neighbours of the same style and language, this finds those that share
+what tells the labels apart.
+
+The nearest examples by exact cosine are found in a block-max inverted index.
+The postings of all but the most widespread terms are added up by example.
+For the widespread ones, which weigh little and have most of the postings,
+each block of examples holds only its largest weights: their sum bounds what
+the terms can add. The examples that look best by that bound are completed
+first; the k-th best of them is the mark, and the postings of examples that
+cannot reach it are never read. Those that can are compared in full.
+
+The neighbours vote with weights by distance, and a logistic curve fitted on
 left-out votes of the examples turns votes into probabilities.
 """
 
@@ -15,12 +24,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +38,14 @@ from .common import bounded_batches, slices, written
 
 #: Labelled rows that are learned from, at most: those first in the order of a hash of their ids.
 EXAMPLES = 6000
-TERMS = 4096
 NEIGHBOURS = 15
-GRAMS = (3, 4, 5)
-BEGINNINGS = (4, 5, 6, 7, 8)
-LONGEST_WORD = 64  # a longer run of letters counts as a word, its grams come from its ends
-CACHE = 500_000  # strings whose terms a worker remembers; most have none
+BEGINNINGS = (4, 5, 6)
+LONG, GRAMS = 24, (3, 4)
+BLOCK = 8  # examples that share a maximum in the index
+WIDE = 512  # terms with block maxima at most: those in the most examples
+EPSILON = 1e-9  # more than the order of a sum can change in a bound
+CACHE = 300_000  # words of up to CACHED bytes whose terms a worker remembers
+CACHED = 64
 
 _WORD = re.compile(r"\w+")
 
@@ -44,106 +55,153 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def terms_of(chunk: bytes) -> set[str]:
-    """The terms of a string without white space."""
-    out: set[str] = set()
+def terms_of(chunk: bytes) -> list[str]:
+    """The different terms of a string without white space; = marks words and ^ beginnings."""
+    out: dict[str, None] = {}
     for w in _WORD.findall(chunk.decode("utf-8", "replace").lower()):
-        out.add("=" + w)
-        out.update("^" + w[:n] for n in BEGINNINGS if n <= len(w))
-        for part in (w,) if len(w) <= LONGEST_WORD else (w[: LONGEST_WORD // 2], w[-LONGEST_WORD // 2 :]):
+        out["=" + w] = None
+        for n in BEGINNINGS:
+            if n <= len(w):
+                out["^" + w[:n]] = None
+        if len(w) > LONG:
             for n in GRAMS:
-                out.update(part[i : i + n] for i in range(len(part) - n + 1))
-    return out
+                out.update((w[i : i + n], None) for i in range(len(w) - n + 1))
+    return list(out)
 
 
-class Vectors:
-    """Term counts of whole texts, for the chosen terms."""
-
-    def __init__(self, terms: list[str]):
-        import ahocorasick
+def codes_of(chunk: bytes) -> list[int]:
+    """terms_of() as 64-bit hashes; two terms of one hash would be one term."""
+    return [xxhash.xxh3_64_intdigest(t.encode()) for t in terms_of(chunk)]
 
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        bare, self.hits = ahocorasick.Automaton(), None  # a string with none of the terms' letters in a row has no term
-        for t in terms:
-            bare.add_word(t.lstrip("^="), True)
-        if terms:
-            bare.make_automaton()
-            self.hits = bare.iter
 
-    def terms(self, raw: bytes) -> tuple[int, ...]:
-        if self.hits is None or next(self.hits(raw.decode("utf-8", "replace").lower()), None) is None:
-            return ()
-        return tuple(sorted(self.index[t] for t in terms_of(raw) if t in self.index))
+class Vectors:
+    """Term counts of whole texts. vocabulary: the terms that count, as ascending hashes; None for all."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary = vocabulary
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def _terms(self, distinct: list[bytes]) -> list[np.ndarray]:
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        new = [raw for raw in distinct if raw not in known]
+        lists = [codes_of(raw) for raw in new]
+        ends = np.cumsum([0, *map(len, lists)])
+        codes = np.fromiter((c for x in lists for c in x), np.uint64, int(ends[-1]))
+        keep = np.ones(len(codes), bool)
+        if self.vocabulary is not None:
+            at = np.minimum(np.searchsorted(self.vocabulary, codes), max(len(self.vocabulary) - 1, 0))
+            keep = self.vocabulary[at] == codes if len(self.vocabulary) else np.zeros(len(codes), bool)
+            codes = at.astype(np.uint64)
+        kept = np.concatenate(([0], np.cumsum(keep)))[ends]
+        codes = codes[keep]
+        fresh = {}
+        for raw, a, b in zip(new, kept[:-1].tolist(), kept[1:].tolist(), strict=True):
+            (known if len(raw) <= CACHED else fresh)[raw] = codes[a:b].copy()
+        return [known[raw] if raw in known else fresh[raw] for raw in distinct]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count) triples by text and term."""
+        """(text, term, count) by text and term; a term is its number in the vocabulary, or its hash without one."""
         codes, distinct, at = T.words(*T.flat(texts))
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, index, lists = self.known, self.index, []
-        for raw in distinct.to_pylist():
-            own = known.get(raw)
-            if own is None:
-                own = known[raw] = self.terms(raw)
-            lists.append(own)
+        lists = self._terms(distinct.to_pylist())
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         hit = np.flatnonzero(lengths[codes])
         doc = np.searchsorted(at, hit, side="right") - 1
         own = codes[hit]
-        pool = np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum()))
+        pool = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
         term = pool[T.spread(own, np.cumsum(lengths) - lengths, lengths)]
-        keys, n = np.unique(np.repeat(doc, lengths[own]) * max(len(index), 1) + term, return_counts=True)
-        return keys // max(len(index), 1), keys % max(len(index), 1), n
-
-
-_last: list[Vectors] = []
-
-
-def vectors_of(terms: list[str]) -> Vectors:
-    """A worker keeps one, so that the cache goes from task to task and never holds more than one model's."""
-    if not _last or list(_last[0].index) != terms:
-        _last[:] = [Vectors(terms)]
-    return _last[0]
+        doc = np.repeat(doc, lengths[own])
+        if self.vocabulary is not None:  # both fit in one number
+            keys, n = np.unique(doc * max(len(self.vocabulary), 1) + term.astype(np.int64), return_counts=True)
+            return keys // max(len(self.vocabulary), 1), keys % max(len(self.vocabulary), 1), n
+        order = np.lexsort((term, doc))
+        doc, term = doc[order], term[order]
+        first = np.ones(len(doc), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+        starts = np.flatnonzero(first)
+        return doc[starts], term[starts], np.diff(np.append(starts, len(doc)))
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples as postings."""
+    """Unit vectors of the examples: postings by term, and for the widespread terms rows with block maxima."""
 
-    ids: np.ndarray  # doc ids of the examples, ascending
+    ids: np.ndarray  # doc ids of the examples
     labels: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray  # [term] -> idf * association
     pointers: np.ndarray  # [term] -> first posting; one more at the end
     positions: np.ndarray
     weights: np.ndarray
+    column: np.ndarray  # [term] -> its column in the two below, or -1
+    wide: np.ndarray  # [example, column] -> weight
+    most: np.ndarray  # [block, column] -> largest weight
 
     @staticmethod
-    def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, idf: np.ndarray) -> Index:
-        back = np.argsort(ids)
-        place = np.empty(len(ids), np.int64)
-        place[back] = np.arange(len(ids))
-        order = np.lexsort((place[row], term))
-        pointers = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        return Index(ids[back], labels[back], idf, pointers, place[row][order], weight[order])
-
-    def weigh(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
+    def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, factor: np.ndarray) -> Index:
+        """row, term, count: the examples' term counts, by row. Examples with much in common get neighbouring places, so that blocks are tight; ties are settled by id all the same."""
+        n, v = len(ids), len(factor)
+        weight = (1 + np.log(count)) * factor[term]
+        norm = np.sqrt(np.bincount(row, weight**2, minlength=n))
+        some = weight > 0
+        row, term, weight = row[some], term[some], weight[some] / norm[row[some]]
+        spread = np.bincount(term, minlength=v)
+        own = np.full(n, -1, np.int64)  # neighbours share the most widespread term that not half of the examples have
+        order = np.lexsort((np.where(spread[term] * 2 > n, 0, spread[term]), row))
+        own[row[order]] = term[order]
+        places = np.lexsort((ids, labels, own))
+        place = np.empty(n, np.int64)
+        place[places] = np.arange(n)
+        row = place[row]
+
+        top = np.argsort(-spread, kind="stable")[:WIDE]
+        top = top[spread[top] * 64 >= n]
+        column = np.full(v, -1, np.int32)
+        column[top] = np.arange(len(top))
+        blocks = -(-n // BLOCK)
+        wide = np.zeros((blocks * BLOCK, len(top)))
+        at = column[term] >= 0
+        wide[row[at], column[term[at]]] = weight[at]
+        most = wide.reshape(blocks, BLOCK, len(top)).max(axis=1) if n else wide
+        row, term, weight = row[~at], term[~at], weight[~at]
+        order = np.lexsort((row, term))
+        return Index(ids[places], labels[places], factor, np.searchsorted(term[order], np.arange(v + 1)), row[order], weight[order], column, wide[:n], most)
+
+    def weigh(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(count)) * self.factor[term]
         norm = math.sqrt(float(w @ w))
-        return w / norm if norm else w
+        some = w > 0
+        return term[some], w[some] / norm if norm else w[some]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a positive cosine, nearest first, ties to the smaller doc id."""
-        starts = self.pointers[term]
-        lengths = self.pointers[term + 1] - starts
-        at = T.spread(np.arange(len(term)), starts, lengths)
-        sums = np.bincount(self.positions[at], self.weights[at] * np.repeat(weight, lengths), minlength=len(self.ids))
+        """Positions and cosines of the k nearest examples with a positive cosine, nearest first, ties to the smaller doc id. term: ascending, with unit weights."""
+        n = len(self.ids)
+        if not len(term) or not n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        column = self.column[term]
+        late = column >= 0
+        early = term[~late]
+        starts = self.pointers[early]
+        lengths = self.pointers[early + 1] - starts
+        at = T.spread(np.arange(len(early)), starts, lengths)
+        sums = np.bincount(self.positions[at], self.weights[at] * np.repeat(weight[~late], lengths), minlength=n)
+        asked = np.zeros(self.wide.shape[1])
+        asked[column[late]] = weight[late]
+        bound = sums + np.repeat(self.most @ asked, BLOCK)[:n]
         if without >= 0:
-            sums[without] = 0
-        least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
-        some = np.flatnonzero((sums >= least) & (sums > 0))
-        found = some[np.argsort(-sums[some], kind="stable")[:k]]
-        return found, sums[found]
+            bound[without] = sums[without] = -2  # below any cosine
+        rows = np.arange(n)
+        if n > 4 * k:
+            first = np.argpartition(bound, -4 * k)[-4 * k :]
+            mark = np.partition(sums[first] + self.wide[first] @ asked, -k)[-k]
+            rows = np.flatnonzero(bound >= mark - EPSILON)
+            whole = sums[rows] + self.wide[rows] @ asked
+            rows = rows[whole >= np.partition(whole, -k)[-k] - EPSILON]
+        rows = rows[rows != without]
+        cosines = sums[rows] + (self.wide[rows] * asked).sum(axis=1)  # row by row, so that the last bits don't depend on the others
+        best = np.lexsort((self.ids[rows], -cosines))[:k]
+        best = best[cosines[best] > 0]
+        return rows[best], cosines[best]
 
     def vote(self, positions: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1 among the neighbours, weighted by nearness."""
@@ -153,143 +211,131 @@ class Index:
 
 @dataclass
 class Model:
-    terms: list[str]
+    vocabulary: np.ndarray  # hashes of all terms of the examples, ascending
     index: Index | None
     slope: float = 1.0
     shift: float = 0.0
     base: float = 0.0  # of documents without any term
 
-    def score(self, term: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.int64)
+    def neighbours(self, term: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """Log-odds of the vote, None without neighbours; positions and cosines."""
         if self.index is None or not len(term):
-            return self.base, none, np.zeros(0)
-        positions, cosines = self.index.nearest(term, self.index.weigh(term, count), without=without)
+            return None, np.zeros(0, np.int64), np.zeros(0)
+        positions, cosines = self.index.nearest(*self.index.weigh(term, count), without=without)
         if not len(positions):
-            return self.base, none, cosines
+            return None, positions, cosines
         raw = self.index.vote(positions, cosines)
-        return 1 / (1 + math.exp(-min(30, max(-30, self.slope * math.log(raw / (1 - raw)) + self.shift)))), positions, cosines
+        return math.log(raw / (1 - raw)), positions, cosines
+
+    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        odds, positions, cosines = self.neighbours(term, count)
+        if odds is None:
+            return self.base, positions, cosines
+        return 1 / (1 + math.exp(-min(30, max(-30, self.slope * odds + self.shift)))), positions, cosines
+
+
+_last: list[tuple[np.ndarray, Vectors]] = []
+
+
+def vectors_of(vocabulary: np.ndarray) -> Vectors:
+    """A worker keeps one, so that the cache goes from task to task and never holds more than one model's."""
+    if not _last or len(_last[0][0]) != len(vocabulary) or not np.array_equal(_last[0][0], vocabulary):
+        _last[:] = [(vocabulary, Vectors(vocabulary))]
+    return _last[0][1]
 
 
-def _sample(documents: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
+def _sample(documents: DataFrame, labels: DataFrame, examples: int, id_col: str, text_col: str) -> DataFrame:
     """At most `examples` labelled documents that may be learned from, with toxic. Conflicting labels of an id are averaged; of texts that share an id the first in order counts."""
     rows = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    ids = rows.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ids = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kept = texts.join(F.broadcast(ids), "doc_id")  # bounded by `examples`
     return written(kept.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-examples")
 
 
-def _choose(sample: DataFrame, n_terms: int) -> list[str]:
-    """The terms whose presence tells the labels apart best."""
+def _counted(sample: DataFrame) -> pa.Table:
+    """doc_id, toxic, terms (hashes) and counts of each example. Bounded by the examples and their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        known: dict[bytes, set[str]] = {}
+        vectors = Vectors()
+        for batch in batches:
+            for part in slices(batch, 2):
+                doc, term, count = vectors(part.column(2))
+                cut = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(cut, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(count, pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-        def out() -> pa.RecordBatch:
-            rows = [(t, y, n) for y, c in enumerate(seen) for t, n in c.items()]
-            for c in seen:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["term", "toxic", "n"])
+    return sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<long>, counts array<int>").toArrow().combine_chunks()
 
-        for batch in batches:
-            for part in slices(batch, 0):
-                codes, distinct, at = T.words(*T.flat(part.column(0)))
-                if len(known) > 50_000:
-                    known.clear()
-                raw = distinct.to_pylist()
-                for y, a, b in zip(part.column(1).to_pylist(), at[:-1], at[1:], strict=True):
-                    own: set[str] = set()
-                    for c in np.unique(codes[a:b]):
-                        found = known.get(raw[c])
-                        if found is None:
-                            found = known[raw[c]] = terms_of(raw[c])
-                        own |= found
-                    seen[y].update(own)
-                    if len(seen[0]) > 200_000:
-                        yield out()
-        yield out()
-
-    counts = sample.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).filter(F.col("a") + F.col("b") >= 3)
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    p, q = float(totals.get(1, 0)), float(totals.get(0, 0))
-    if not p or not q:
-        return []
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (a * (q - b) - b * (p - a)) ** 2 * (p + q) / (F.lit(p * q) * (a + b) * F.greatest(F.lit(p + q) - a - b, F.lit(0.5)))
-    best = counts.withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(n_terms)
-    return [r["term"] for r in best.select("term").collect()]
-
-
-def _frequencies(documents: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """Number of documents, and of documents with each term: over all of them."""
+
+def _frequencies(documents: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
+    """Number of documents, and of documents with each term of the vocabulary: over all of them."""
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, df, n = vectors_of(terms), np.zeros(len(terms) + 1, np.int64), 0
+        vectors, df, n = vectors_of(sent.value), np.zeros(len(sent.value) + 1, np.int64), 0
         for batch in batches:
             for part in slices(batch, 0):
                 _, term, _ = vectors(part.column(0))
-                df[:-1] += np.bincount(term, minlength=len(terms))
+                df[:-1] += np.bincount(term, minlength=len(df) - 1)
                 n += part.num_rows
         df[-1] = n
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(df[own])], ["term", "n"])
 
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(terms) + 1)
-    for r in rows:
-        df[r["term"]] = r["n"]
+    found = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return int(df[-1]), df[:-1]
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS) -> Model:
-    """Learn from at most `examples` labelled documents. What reaches the driver is bounded by examples and n_terms."""
-    bounded_batches(documents.sparkSession)
-    sample = _sample(documents, labels, examples)
-    terms = _choose(sample, n_terms)
+def association(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """The root of chi-square of a term's presence with the label, from how many examples of each label have it."""
+    a, b, p, q = toxic, clean, n_toxic, n_clean
+    return np.abs(a * (q - b) - b * (p - a)) * np.sqrt((p + q) / (p * q * (a + b) * np.maximum(p + q - a - b, 0.5)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(terms)
-        for batch in batches:
-            doc, term, count = vectors(batch.column(2))
-            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(term), lists(count)], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = sample.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").collect() if terms else []
-    if not rows:
-        rate = sample.agg(F.avg("toxic")).first()[0]
-        return Model([], None, base=float(rate or 0.0))
-    n, df = _frequencies(documents, terms)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    rows.sort(key=lambda r: r["doc_id"])
-    ids, labels_ = np.array([r["doc_id"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    row = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
-    term = np.array([t for r in rows for t in r["terms"]], np.int64)
-    weight = (1 + np.log(np.array([c for r in rows for c in r["counts"]], float))) * idf[term]
-    norm = np.sqrt(np.bincount(row, weight**2, minlength=len(rows)))
-    model = Model(terms, Index.build(ids, labels_, row, term, weight / norm[row], idf))
-    bare = np.array([not r["terms"] for r in rows])
-    model.base = float((labels_[bare].sum() + labels_.mean()) / (bare.sum() + 1))
-    _calibrate(model, rows)
+
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn from at most `examples` labelled documents, whose terms are what reaches the driver."""
+    bounded_batches(documents.sparkSession)
+    sample = _sample(documents, labels, examples, id_col, text_col)
+    rows = _counted(sample)
+    toxic = rows.column("toxic").to_numpy().astype(float)
+    rate = float(toxic.mean()) if len(toxic) else 0.0
+    if not 0 < rate < 1:
+        return Model(np.zeros(0, np.uint64), None, base=rate)
+    lists = rows.column("terms").combine_chunks()
+    row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    vocabulary, term = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    count = rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    n, df = _frequencies(documents, vocabulary, text_col)
+    hits = np.bincount(term, toxic[row], minlength=len(vocabulary))
+    factor = (np.log((n + 1) / (df + 1)) + 1) * association(hits, np.bincount(term, minlength=len(vocabulary)) - hits, toxic.sum(), len(toxic) - toxic.sum())
+    model = Model(vocabulary, Index.build(rows.column("doc_id").to_numpy(), toxic, row, term, count, factor))
+    bare = np.bincount(row, minlength=len(toxic)) == 0
+    model.base = float((toxic[bare].sum() + rate) / (bare.sum() + 1))
+    _calibrate(model, sample)
     return model
 
 
-def _calibrate(model: Model, rows: list) -> None:
+def _calibrate(model: Model, sample: DataFrame) -> None:
     """Fit slope and shift of the logistic curve on each example's vote without itself."""
-    at = {int(i): p for p, i in enumerate(model.index.ids)}
-    x, y = [], []
-    for r in rows:
-        if r["terms"]:
-            term, count = np.array(r["terms"], np.int64), np.array(r["counts"], float)
-            found, cosines = model.index.nearest(term, model.index.weigh(term, count), without=at[r["doc_id"]])
-            if len(found):
-                raw = model.index.vote(found, cosines)
-                x.append(math.log(raw / (1 - raw)))
-                y.append(r["toxic"])
-    if not x:
+    sent = sample.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        at, vectors = {int(i): p for p, i in enumerate(own.index.ids)}, vectors_of(own.vocabulary)
+        for batch in batches:
+            for part in slices(batch, 2):
+                doc, term, count = vectors(part.column(2))
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                odds = [own.neighbours(term[a:b], count[a:b], at[i])[0] for i, a, b in zip(part.column(0).to_pylist(), cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(odds, pa.float64()), part.column(1)], ["doc_id", "odds", "toxic"])
+
+    votes = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, odds double, toxic int").filter("odds IS NOT NULL").toArrow().sort_by("doc_id")
+    x, y = votes.column("odds").to_numpy(), votes.column("toxic").to_numpy().astype(float)
+    if not len(x):
         return
-    design, y, beta = np.column_stack((x, np.ones(len(x)))), np.array(y, float), np.array([1.0, 0.0])
+    design, beta = np.column_stack((x, np.ones(len(x)))), np.array([1.0, 0.0])
     prior, ridge = np.array([1.0, 0.0]), np.diag([1.0, 1.0])  # holds the curve where examples are few or separable
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -301,40 +347,45 @@ def _calibrate(model: Model, rows: list) -> None:
 
 
 def _scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """The score of each text. known: results by equal term counts, which short vectors often have."""
-    doc, term, count = vectors_of(model.terms)(texts)
-    if len(known) > 50_000:
+    """The score of each text. known: results by a digest of the term counts, as copies have the same."""
+    doc, term, count = vectors_of(model.vocabulary)(texts)
+    if len(known) > 20_000:
         known.clear()
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        key = term[a:b].tobytes() + count[a:b].tobytes()
+        key = xxhash.xxh3_128_digest(term[a:b].tobytes() + count[a:b].tobytes())
         if key not in known:
             known[key] = model.score(term[a:b], count[a:b].astype(float))
         yield known[key]
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, score, predicted, evidence (nearest examples with cosine and label).
+    """One row per document: id, held_out, score, predicted, evidence (all neighbours that voted, with cosine and label, nearest first).
 
     Only the text goes into a score. Null and empty texts, and texts without
-    any chosen term, get the rate of label 1 among such examples; without any
-    labelled example the score is 0. Repeated rows are kept, null ids stay
-    null, other columns are not read.
+    any term of the examples, get the rate of label 1 among such examples;
+    without examples of both labels the score is their rate, or 0 for none.
+    Repeated rows are kept, null ids stay null, other columns are not read.
     """
     bounded_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     held = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = sent.value, {}
         for batch in batches:
             for part in slices(batch, 1):
-                scores, evidence = [], []
-                for s, found, cosines in _scored(own, part.column(1), known):
+                scores, found, near = [], [], []
+                for s, positions, cosines in _scored(own, part.column(1), known):
                     scores.append(s)
-                    evidence.append([{"doc_id": int(own.index.ids[p]), "cosine": float(c), "toxic": int(own.index.labels[p])} for p, c in zip(found[:3], cosines[:3], strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(evidence, held)], ["id", "score", "evidence"])
+                    found.append(positions)
+                    near.append(cosines)
+                cut = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                at, cos = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64), np.concatenate(near) if near else np.zeros(0)
+                ids, labels = (own.index.ids[at], own.index.labels[at]) if own.index else (at, at)
+                voters = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(cos, pa.float64()), pa.array(labels.astype(np.int32), pa.int32())], fields=list(held.value_type))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(cut, voters, type=held)], ["id", "score", "evidence"])
 
     out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
@@ -349,6 +400,6 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
         own, known = sent.value, {}
         for batch in batches:
             for part in slices(batch, column):
-                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(own, part.column(column), known)], pa.bool_()))
+                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(own, part.column(column).cast(pa.string()), known)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
