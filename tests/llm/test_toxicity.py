@@ -1,11 +1,11 @@
 import math
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from voxmill.llm import queries as Q
 from voxmill.llm import toxicity as X
@@ -28,7 +28,7 @@ def test_nearest_is_exact(monkeypatch, wide):
     dense[row, term] = (1 + np.log(count)) * factor[term]
     dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-300)[:, None]
     ids = r.permutation(n) + 10
-    index = X.Index.build(ids, np.arange(n) % 2, row, term, count, factor)
+    index = X.Search(X.Index.build(ids, np.arange(n) % 2, row, term, count, factor))
     for asked in range(60):
         t, w = index.weigh(np.sort(r.choice(v, r.integers(1, 9), replace=False)), np.ones(1))
         own = asked if asked % 3 == 0 else -1
@@ -42,31 +42,39 @@ def test_nearest_is_exact(monkeypatch, wide):
         assert np.allclose(cosines, want[order]) and index.ids[found].tolist() == ids[order].tolist()
 
 
-def test_terms():
-    assert X.terms_of("«Moron!»".encode()) == ["=moron", "^moro", "^moron"]
-    assert X.terms_of(b"") == [] and X.terms_of("x".encode() * 100_000)
-    assert {"毒物", "字毒物"[:3]} & set(X.terms_of(("字" * 40 + "毒物毒" + "字" * 60).encode())) and "毒物毒" in X.terms_of(("字" * 40 + "毒物毒" + "字" * 60).encode())
-
-
-def test_vectors_count_whole_texts():
-    codes = np.sort(np.array(X.codes_of(b"bad") + X.codes_of(b"badly"), np.uint64))
-    at = {t: int(np.searchsorted(codes, np.uint64(c))) for t, c in zip(("bad", "badly", "^badl", "^badly"), X.codes_of(b"bad") + X.codes_of(b"badly"), strict=True)}
-    for _ in range(2):
-        v = X.Vectors(codes)
-        doc, term, n = v(pa.array(["Bad bad. badly", None, "", "good " * 5000 + "bad"]))
-        want = sorted([(0, at["bad"], 2), (0, at["badly"], 1), (0, at["^badl"], 1), (0, at["^badly"], 1), (3, at["bad"], 1)])
-        assert list(zip(doc.tolist(), term.tolist(), n.tolist(), strict=True)) == want
-    doc, term, n = X.Vectors()(pa.array(["Bad bad. badly", None]))
-    assert sorted(n.tolist()) == [1, 1, 1, 2] and set(term.tolist()) == set(codes.tolist()) and set(doc.tolist()) == {0}
-
-
 def plain_terms(text):
     out = Counter()
-    for w in re.findall(r"\w+", text.lower()):
-        out.update({"=" + w, *("^" + w[:n] for n in (4, 5, 6) if len(w) >= n), *(w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1) if len(w) > 24)})
+    for w in regex.findall(r"[\p{L}\p{N}\p{M}_]+", text.lower()):
+        out.update(["=" + w] if len(w) <= 24 else [w[i : i + 3] for i in range(len(w) - 2)])
+        out.update("^" + w[:n] for n in (4, 6) if len(w) >= n)
     return out
 
 
+@pytest.mark.parametrize("window", [1 << 17, 64, 40])
+def test_terms_of_whole_texts(monkeypatch, window):
+    """Terms stand for the same hash wherever a text is cut, and different ones for different hashes."""
+    monkeypatch.setattr(X, "WINDOW", window)
+    texts = ["Bad bad. badly «Moron!» x_1", None, "", " ", "good " * 50 + "bad", "字" * 40 + "毒物毒" + "字" * 60, "é" * 25 + " ééé", "w" * 24, "w" * 25, "e\u0301te\u0301s e\u0301", "a-b " + "q" * 300 + "z end", "ab\tcd\nef", "toxic", "toxi toxicity toxic", "x" * 23 + "字" * 5]
+    doc, term, n = X.Vectors()(pa.array(texts))
+    own = [Counter(dict(zip(term[doc == i].tolist(), n[doc == i].tolist(), strict=True))) for i in range(len(texts))]
+    want = [plain_terms(t or "") for t in texts]
+    names = {}
+    for got, plain in zip(own, want, strict=True):
+        assert sorted(got.values()) == sorted(plain.values())
+    for t in {t for c in want for t in c}:  # a term's hash is the one that is where the term is
+        cands = set.intersection(*({h for h, k in own[i].items() if k == c[t]} for i, c in enumerate(want) if t in c)) - set().union(*(own[i] for i, c in enumerate(want) if t not in c))
+        assert cands, t
+        names[t] = cands
+    monkeypatch.setattr(X, "WINDOW", 1 << 17)
+    whole = X.Vectors()(pa.array(texts))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, (doc, term, n), strict=True))
+    vocabulary = np.unique(term)[::2]
+    doc2, number, n2 = X.Vectors(vocabulary)(pa.array(texts))
+    keep = np.isin(term, vocabulary)
+    assert np.array_equal(doc2, doc[keep]) and np.array_equal(vocabulary[number], term[keep]) and np.array_equal(n2, n[keep])
+    assert not len(X.Vectors(np.zeros(0, np.uint64))(pa.array(texts))[0])
+
+
 def test_query_against_plain_version(spark, sf_dir, documents):
     """Neighbours, votes and scores of every document by dictionaries; the curve by its condition for a minimum."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -153,7 +161,7 @@ def test_odd_rows(spark, planted, odd_docs):
 def test_no_labels(spark, planted):
     docs, labels = planted
     assert {r["score"] for r in X.score(docs, X.fit(docs, labels.limit(0))).collect()} == {0.0}
-    assert X.fit(docs.limit(0), labels).index is None
+    assert X.fit(docs.limit(0), labels).sent is None
     assert {r["predicted"] for r in X.score(docs, X.fit(docs, labels.filter("toxic = 1"))).collect()} == {1}
 
 

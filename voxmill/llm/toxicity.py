@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-A text's terms are its words, their beginnings of 4 to 6 letters and, of a run
-of letters longer than LONG (scripts without spaces, joined words), all
-character grams too. Every term of the labelled examples is indexed. A term
+A text's terms are its words, their beginnings of 4 and 6 letters and, in place
+of a word longer than LONG (scripts without spaces, joined words), all its
+3-grams. Every term of the labelled examples is indexed. A term
 weighs (1 + ln tf) * idf, with document frequencies of all documents, times
 the root of its chi-square with the labels among the examples: plain TF-IDF
 finds neighbours of the same style and language, this finds those that share
@@ -23,13 +23,14 @@ left-out votes of the examples turns votes into probabilities.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +40,17 @@ from .common import bounded_batches, slices, written
 #: Labelled rows that are learned from, at most: those first in the order of a hash of their ids.
 EXAMPLES = 6000
 NEIGHBOURS = 15
-BEGINNINGS = (4, 5, 6)
-LONG, GRAMS = 24, (3, 4)
-BLOCK = 8  # examples that share a maximum in the index
+BEGINNINGS = (4, 6)
+LONG, GRAM = 24, 3
+BLOCK = 4  # examples that share a maximum in the index
 WIDE = 512  # terms with block maxima at most: those in the most examples
-EPSILON = 1e-9  # more than the order of a sum can change in a bound
-CACHE = 300_000  # words of up to CACHED bytes whose terms a worker remembers
-CACHED = 64
+EPSILON = 1e-5  # more than single precision and the order of a sum can change in a bound
+WINDOW = 1 << 17  # bytes of text whose terms are worked out at once
 
-_WORD = re.compile(r"\w+")
+_U64 = np.uint64
+_GAPS = r"[^\p{L}\p{N}\p{M}_]+"  # what lies between words
+_TABLE = np.random.default_rng(64).integers(0, 1 << 64, (64, 256), dtype=np.uint64)  # a byte's part in a word's hash, by place
+_PARTS = _TABLE.ravel()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,23 +58,80 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def terms_of(chunk: bytes) -> list[str]:
-    """The different terms of a string without white space; = marks words and ^ beginnings."""
-    out: dict[str, None] = {}
-    for w in _WORD.findall(chunk.decode("utf-8", "replace").lower()):
-        out["=" + w] = None
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> _U64(32))) * _U64(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U64(32))
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, bool, bool]]:
+    """(begin, end, begins within a word, ends within it) of stretches of about WINDOW bytes: cut between words, and within one where it is longer, with an overlap that keeps each gram in one stretch."""
+    at, inside = 0, False
+    while at < len(data):
+        end = min(at + WINDOW, len(data))
+        if end == len(data):
+            yield at, end, inside, False
+            return
+        gap = np.flatnonzero(data[at + 1 : end] == 0x20)
+        edge = int(offsets[np.searchsorted(offsets, end, side="right") - 1])
+        cut = max(at + 1 + int(gap[-1]) if len(gap) else at, edge if edge > at else at)
+        if cut > at:
+            yield at, cut, inside, False
+            at, inside = cut, False
+        else:  # one word throughout
+            back = end - np.flatnonzero((data[end - 4 * GRAM : end] & 0xC0)[::-1] != 0x80) - 1  # beginnings of the last letters, from the end
+            yield at, int(back[0]), inside, True
+            at, inside = int(back[GRAM - 1]), True
+
+
+def _codes(data: np.ndarray, begin: np.ndarray, inside: bool, partial: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms of a stretch of lower-cased words, and the byte at which each term's word begins.
+
+    begin: where texts begin. inside: the first word began before; partial: the last goes on. Two terms of one hash would be one term.
+    """
+    solid = data != 0x20
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    first[begin] = solid[begin]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    own = data[solid]
+    at = np.flatnonzero(first[solid])  # in the words' bytes alone
+    ends = np.append(at[1:], len(own))
+    place = np.arange(len(own)) - np.repeat(at, ends - at)
+    letter = np.flatnonzero((own & 0xC0) != 0x80)
+    one = np.searchsorted(letter, at)  # number of a word's first letter
+    size = np.append(one[1:], len(letter)) - one
+    long = size > LONG
+    if inside:
+        long[0] = True
+    if partial:
+        long[-1] = True
+    with np.errstate(over="ignore"):
+        part = _PARTS.take(((place & 63) << 8) + own)
+        if size.max() > 16:  # a letter has 4 bytes at most
+            part *= (2 * (place >> 6) + 1).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part)))
+        short = np.flatnonzero(~long)
+        codes, words = [_mix(sums[ends[short]] - sums[at[short]])], [short]
+        edge = np.append(letter, len(own))
         for n in BEGINNINGS:
-            if n <= len(w):
-                out["^" + w[:n]] = None
-        if len(w) > LONG:
-            for n in GRAMS:
-                out.update((w[i : i + n], None) for i in range(len(w) - n + 1))
-    return list(out)
-
-
-def codes_of(chunk: bytes) -> list[int]:
-    """terms_of() as 64-bit hashes; two terms of one hash would be one term."""
-    return [xxhash.xxh3_64_intdigest(t.encode()) for t in terms_of(chunk)]
+            some = np.flatnonzero(size >= n)
+            if inside and len(some) and some[0] == 0:
+                some = some[1:]
+            codes.append(_mix((sums[edge[one[some] + n]] - sums[at[some]]) ^ _U64(0x5E)))
+            words.append(some)
+        runs = np.flatnonzero(long)
+        if len(runs):
+            letters = np.add.reduceat(_TABLE[np.arange(len(own)) - np.repeat(letter, np.diff(edge)), own], letter)
+            grams = letters[: max(len(letters) - GRAM + 1, 0)].copy()
+            for i in range(1, GRAM):
+                grams = _mix(grams) + letters[i : i + len(grams)]
+            n = np.maximum(size[runs] - GRAM + 1, 0)
+            codes.append(_mix(grams[T.spread(np.arange(len(runs)), one[runs], n)] ^ _U64(0x3A)))
+            words.append(np.repeat(runs, n))
+    return np.concatenate(codes), starts[np.concatenate(words)]
 
 
 class Vectors:
@@ -79,72 +139,76 @@ class Vectors:
 
     def __init__(self, vocabulary: np.ndarray | None = None):
         self.vocabulary = vocabulary
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _terms(self, distinct: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [raw for raw in distinct if raw not in known]
-        lists = [codes_of(raw) for raw in new]
-        ends = np.cumsum([0, *map(len, lists)])
-        codes = np.fromiter((c for x in lists for c in x), np.uint64, int(ends[-1]))
-        keep = np.ones(len(codes), bool)
-        if self.vocabulary is not None:
-            at = np.minimum(np.searchsorted(self.vocabulary, codes), max(len(self.vocabulary) - 1, 0))
-            keep = self.vocabulary[at] == codes if len(self.vocabulary) else np.zeros(len(codes), bool)
-            codes = at.astype(np.uint64)
-        kept = np.concatenate(([0], np.cumsum(keep)))[ends]
-        codes = codes[keep]
-        fresh = {}
-        for raw, a, b in zip(new, kept[:-1].tolist(), kept[1:].tolist(), strict=True):
-            (known if len(raw) <= CACHED else fresh)[raw] = codes[a:b].copy()
-        return [known[raw] if raw in known else fresh[raw] for raw in distinct]
+        if vocabulary is not None:  # hashes spread evenly, so their leading bits lead almost to their place
+            bits = max(1, len(vocabulary).bit_length())
+            self.shift = _U64(64 - bits)
+            self.place = np.searchsorted(vocabulary >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def _numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which codes are in the vocabulary, and their numbers."""
+        bucket = (codes >> self.shift).astype(np.int64)
+        at, end = self.place[bucket], self.place[bucket + 1]
+        found = np.full(len(codes), -1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            hit = self.vocabulary[at[open_]] == codes[open_]
+            found[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        known = np.flatnonzero(found >= 0)
+        return known, found[known]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) by text and term; a term is its number in the vocabulary, or its hash without one."""
-        codes, distinct, at = T.words(*T.flat(texts))
-        lists = self._terms(distinct.to_pylist())
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        hit = np.flatnonzero(lengths[codes])
-        doc = np.searchsorted(at, hit, side="right") - 1
-        own = codes[hit]
-        pool = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-        term = pool[T.spread(own, np.cumsum(lengths) - lengths, lengths)]
-        doc = np.repeat(doc, lengths[own])
-        if self.vocabulary is not None:  # both fit in one number
-            keys, n = np.unique(doc * max(len(self.vocabulary), 1) + term.astype(np.int64), return_counts=True)
-            return keys // max(len(self.vocabulary), 1), keys % max(len(self.vocabulary), 1), n
-        order = np.lexsort((term, doc))
+        data, offsets = T.flat(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), _GAPS, " "))
+        docs, terms, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64 if self.vocabulary is not None else np.uint64)], [np.zeros(0, np.int64)]
+        for a, b, inside, partial in _windows(data, offsets):
+            begin = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+            codes, at = _codes(data[a:b], begin, inside, partial)
+            if self.vocabulary is not None:
+                known, codes = self._numbers(codes)
+                at = at[known]
+            parts = self._counted(np.searchsorted(offsets, a + at, side="right") - 1, codes, np.ones(len(codes), np.int64))
+            for held, x in zip((docs, terms, counts), parts, strict=True):
+                held.append(x)
+        doc, term, count = np.concatenate(docs), np.concatenate(terms), np.concatenate(counts)
+        return (doc, term, count) if len(docs) < 3 else self._counted(doc, term, count)
+
+    def _counted(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.vocabulary is not None:
+            order = np.argsort(doc * max(len(self.vocabulary), 1) + term, kind="stable")
+        else:
+            order = np.lexsort((term, doc))
         doc, term = doc[order], term[order]
         first = np.ones(len(doc), bool)
         first[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
         starts = np.flatnonzero(first)
-        return doc[starts], term[starts], np.diff(np.append(starts, len(doc)))
+        return doc[starts], term[starts], np.add.reduceat(count[order], starts) if len(starts) else count
+
+
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """The same numbers, none of them negative, in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples: postings by term, and for the widespread terms rows with block maxima."""
+    """The examples' term counts as postings: what is sent to the executors."""
 
     ids: np.ndarray  # doc ids of the examples
     labels: np.ndarray
     factor: np.ndarray  # [term] -> idf * association
     pointers: np.ndarray  # [term] -> first posting; one more at the end
     positions: np.ndarray
-    weights: np.ndarray
-    column: np.ndarray  # [term] -> its column in the two below, or -1
-    wide: np.ndarray  # [example, column] -> weight
-    most: np.ndarray  # [block, column] -> largest weight
+    counts: np.ndarray
 
     @staticmethod
     def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, factor: np.ndarray) -> Index:
         """row, term, count: the examples' term counts, by row. Examples with much in common get neighbouring places, so that blocks are tight; ties are settled by id all the same."""
         n, v = len(ids), len(factor)
-        weight = (1 + np.log(count)) * factor[term]
-        norm = np.sqrt(np.bincount(row, weight**2, minlength=n))
-        some = weight > 0
-        row, term, weight = row[some], term[some], weight[some] / norm[row[some]]
+        some = factor[term] > 0
+        row, term, count = row[some], term[some], count[some]
         spread = np.bincount(term, minlength=v)
         own = np.full(n, -1, np.int64)  # neighbours share the most widespread term that not half of the examples have
         order = np.lexsort((np.where(spread[term] * 2 > n, 0, spread[term]), row))
@@ -153,19 +217,34 @@ class Index:
         place = np.empty(n, np.int64)
         place[places] = np.arange(n)
         row = place[row]
+        order = np.lexsort((row, term))
+        return Index(ids[places], labels[places], factor, np.searchsorted(term[order], np.arange(v + 1)).astype(np.int32), _smallest(row[order]), _smallest(count[order].astype(np.int64)))
+
+
+class Search:
+    """Unit vectors of the examples, made from an Index: postings by term, and for the widespread terms rows with block maxima."""
 
-        top = np.argsort(-spread, kind="stable")[:WIDE]
-        top = top[spread[top] * 64 >= n]
-        column = np.full(v, -1, np.int32)
-        column[top] = np.arange(len(top))
+    def __init__(self, index: Index):
+        self.ids, self.labels, self.factor = index.ids, index.labels, index.factor
+        n, v = len(index.ids), len(index.factor)
+        length = np.diff(index.pointers)
+        term, row = np.repeat(np.arange(v), length), index.positions.astype(np.int64)
+        weight = (1 + np.log(np.maximum(index.counts, 1).astype(float))) * index.factor[term]
+        norm = np.sqrt(np.bincount(row, weight**2, minlength=n))
+        weight /= np.maximum(norm[row], 1e-300)
+        top = np.argsort(-length, kind="stable")[:WIDE]
+        top = top[length[top] * 64 >= n]
+        self.column = np.full(v, -1, np.int32)  # [term] -> its column in the two below, or -1
+        self.column[top] = np.arange(len(top))
         blocks = -(-n // BLOCK)
         wide = np.zeros((blocks * BLOCK, len(top)))
-        at = column[term] >= 0
-        wide[row[at], column[term[at]]] = weight[at]
-        most = wide.reshape(blocks, BLOCK, len(top)).max(axis=1) if n else wide
-        row, term, weight = row[~at], term[~at], weight[~at]
-        order = np.lexsort((row, term))
-        return Index(ids[places], labels[places], factor, np.searchsorted(term[order], np.arange(v + 1)), row[order], weight[order], column, wide[:n], most)
+        late = self.column[term] >= 0
+        wide[row[late], self.column[term[late]]] = weight[late]
+        self.wide = wide[:n]  # [example, column] -> weight
+        self.most = np.ascontiguousarray(wide.reshape(blocks, BLOCK, len(top)).max(axis=1).T.astype(np.float32)) if n else wide.T  # [column, block] -> largest weight
+        self.positions, self.weights = row[~late], weight[~late]
+        kept = np.where(self.column >= 0, 0, length)
+        self.pointers = np.concatenate(([0], np.cumsum(kept)))
 
     def weigh(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(count)) * self.factor[term]
@@ -187,7 +266,7 @@ class Index:
         sums = np.bincount(self.positions[at], self.weights[at] * np.repeat(weight[~late], lengths), minlength=n)
         asked = np.zeros(self.wide.shape[1])
         asked[column[late]] = weight[late]
-        bound = sums + np.repeat(self.most @ asked, BLOCK)[:n]
+        bound = sums + np.repeat(weight[late].astype(np.float32) @ self.most[column[late]], BLOCK)[:n]
         if without >= 0:
             bound[without] = sums[without] = -2  # below any cosine
         rows = np.arange(n)
@@ -209,39 +288,34 @@ class Index:
         return float((w @ self.labels[positions] + 0.02) / (w.sum() + 0.04))
 
 
-@dataclass
-class Model:
-    vocabulary: np.ndarray  # hashes of all terms of the examples, ascending
-    index: Index | None
-    slope: float = 1.0
-    shift: float = 0.0
-    base: float = 0.0  # of documents without any term
-
     def neighbours(self, term: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
         """Log-odds of the vote, None without neighbours; positions and cosines."""
-        if self.index is None or not len(term):
-            return None, np.zeros(0, np.int64), np.zeros(0)
-        positions, cosines = self.index.nearest(*self.index.weigh(term, count), without=without)
+        positions, cosines = self.nearest(*self.weigh(term, count), without=without)
         if not len(positions):
             return None, positions, cosines
-        raw = self.index.vote(positions, cosines)
+        raw = self.vote(positions, cosines)
         return math.log(raw / (1 - raw)), positions, cosines
 
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        odds, positions, cosines = self.neighbours(term, count)
-        if odds is None:
-            return self.base, positions, cosines
-        return 1 / (1 + math.exp(-min(30, max(-30, self.slope * odds + self.shift)))), positions, cosines
 
+@dataclass
+class Model:
+    sent: Broadcast | None  # (vocabulary, index), both bounded by the examples; None without examples of both labels
+    slope: float = 1.0
+    shift: float = 0.0
+    base: float = 0.0  # of documents without any term
 
-_last: list[tuple[np.ndarray, Vectors]] = []
+    def score(self, odds: float | None) -> float:
+        return self.base if odds is None else 1 / (1 + math.exp(-min(30, max(-30, self.slope * odds + self.shift))))
 
 
-def vectors_of(vocabulary: np.ndarray) -> Vectors:
-    """A worker keeps one, so that the cache goes from task to task and never holds more than one model's."""
-    if not _last or len(_last[0][0]) != len(vocabulary) or not np.array_equal(_last[0][0], vocabulary):
-        _last[:] = [(vocabulary, Vectors(vocabulary))]
-    return _last[0][1]
+_last: list[tuple[object, Vectors, Search]] = []
+
+
+def made(sent: tuple[np.ndarray, Index]) -> tuple[Vectors, Search]:
+    """A worker makes what it needs of a model once, and never holds more than one model's."""
+    if not _last or _last[0][0] is not sent:
+        _last[:] = [(sent, Vectors(sent[0]), Search(sent[1]))]
+    return _last[0][1:]
 
 
 def _sample(documents: DataFrame, labels: DataFrame, examples: int, id_col: str, text_col: str) -> DataFrame:
@@ -272,7 +346,7 @@ def _frequencies(documents: DataFrame, vocabulary: np.ndarray, text_col: str) ->
     sent = documents.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, df, n = vectors_of(sent.value), np.zeros(len(sent.value) + 1, np.int64), 0
+        vectors, df, n = Vectors(sent.value), np.zeros(len(sent.value) + 1, np.int64), 0
         for batch in batches:
             for part in slices(batch, 0):
                 _, term, _ = vectors(part.column(0))
@@ -302,7 +376,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_co
     toxic = rows.column("toxic").to_numpy().astype(float)
     rate = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < rate < 1:
-        return Model(np.zeros(0, np.uint64), None, base=rate)
+        return Model(None, base=rate)
     lists = rows.column("terms").combine_chunks()
     row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
     vocabulary, term = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
@@ -310,7 +384,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_co
     n, df = _frequencies(documents, vocabulary, text_col)
     hits = np.bincount(term, toxic[row], minlength=len(vocabulary))
     factor = (np.log((n + 1) / (df + 1)) + 1) * association(hits, np.bincount(term, minlength=len(vocabulary)) - hits, toxic.sum(), len(toxic) - toxic.sum())
-    model = Model(vocabulary, Index.build(rows.column("doc_id").to_numpy(), toxic, row, term, count, factor))
+    model = Model(documents.sparkSession.sparkContext.broadcast((vocabulary, Index.build(rows.column("doc_id").to_numpy(), toxic, row, term, count, factor))))
     bare = np.bincount(row, minlength=len(toxic)) == 0
     model.base = float((toxic[bare].sum() + rate) / (bare.sum() + 1))
     _calibrate(model, sample)
@@ -319,16 +393,16 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_co
 
 def _calibrate(model: Model, sample: DataFrame) -> None:
     """Fit slope and shift of the logistic curve on each example's vote without itself."""
-    sent = sample.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
+    sent = model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        at, vectors = {int(i): p for p, i in enumerate(own.index.ids)}, vectors_of(own.vocabulary)
+        vectors, search = made(sent.value)
+        at = {int(i): p for p, i in enumerate(search.ids)}
         for batch in batches:
             for part in slices(batch, 2):
                 doc, term, count = vectors(part.column(2))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                odds = [own.neighbours(term[a:b], count[a:b], at[i])[0] for i, a, b in zip(part.column(0).to_pylist(), cut[:-1], cut[1:], strict=True)]
+                odds = [search.neighbours(term[a:b], count[a:b], at[i])[0] for i, a, b in zip(part.column(0).to_pylist(), cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(odds, pa.float64()), part.column(1)], ["doc_id", "odds", "toxic"])
 
     votes = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, odds double, toxic int").filter("odds IS NOT NULL").toArrow().sort_by("doc_id")
@@ -348,14 +422,20 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 
 def _scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
     """The score of each text. known: results by a digest of the term counts, as copies have the same."""
-    doc, term, count = vectors_of(model.vocabulary)(texts)
+    if model.sent is None:
+        for _ in range(len(texts)):
+            yield model.base, np.zeros(0, np.int64), np.zeros(0)
+        return
+    vectors, search = made(model.sent.value)
+    doc, term, count = vectors(texts)
     if len(known) > 20_000:
         known.clear()
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         key = xxhash.xxh3_128_digest(term[a:b].tobytes() + count[a:b].tobytes())
         if key not in known:
-            known[key] = model.score(term[a:b], count[a:b].astype(float))
+            odds, positions, cosines = search.neighbours(term[a:b], count[a:b])
+            known[key] = model.score(odds), positions, cosines
         yield known[key]
 
 
@@ -370,20 +450,20 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     bounded_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     held = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = sent.value, {}
+        known = {}
         for batch in batches:
             for part in slices(batch, 1):
                 scores, found, near = [], [], []
-                for s, positions, cosines in _scored(own, part.column(1), known):
+                for s, positions, cosines in _scored(model, part.column(1), known):
                     scores.append(s)
                     found.append(positions)
                     near.append(cosines)
                 cut = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                 at, cos = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64), np.concatenate(near) if near else np.zeros(0)
-                ids, labels = (own.index.ids[at], own.index.labels[at]) if own.index else (at, at)
+                index = model.sent.value[1] if model.sent else None
+                ids, labels = (index.ids[at], index.labels[at]) if index else (at, at)
                 voters = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(cos, pa.float64()), pa.array(labels.astype(np.int32), pa.int32())], fields=list(held.value_type))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(cut, voters, type=held)], ["id", "score", "evidence"])
 
@@ -394,12 +474,12 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents, all columns as they are, whose score is under the threshold."""
     bounded_batches(documents.sparkSession)
-    sent, column = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index(text_col)
+    column = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = sent.value, {}
+        known = {}
         for batch in batches:
             for part in slices(batch, column):
-                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(own, part.column(column).cast(pa.string()), known)], pa.bool_()))
+                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(model, part.column(column).cast(pa.string()), known)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
