@@ -46,7 +46,7 @@ def plain_terms(text):
     out = Counter()
     for w in regex.findall(r"[\p{L}\p{N}\p{M}_]+", text.lower()):
         out.update(["=" + w] if len(w) <= 24 else [w[i : i + 3] for i in range(len(w) - 2)])
-        out.update("^" + w[:n] for n in (4, 6) if len(w) >= n)
+        out.update("^" + w[:n] for n in (4,) if len(w) >= n)
     return out
 
 

@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples.
 
-A text's terms are its words, their beginnings of 4 and 6 letters and, in place
+A text's terms are its words, their beginnings of 4 letters and, in place
 of a word longer than LONG (scripts without spaces, joined words), all its
 3-grams. Every term of the labelled examples is indexed. A term
 weighs (1 + ln tf) * idf, with document frequencies of all documents, times
@@ -40,9 +40,9 @@ from .common import bounded_batches, slices, written
 #: Labelled rows that are learned from, at most: those first in the order of a hash of their ids.
 EXAMPLES = 6000
 NEIGHBOURS = 15
-BEGINNINGS = (4, 6)
+BEGINNINGS = (4,)
 LONG, GRAM = 24, 3
-BLOCK = 4  # examples that share a maximum in the index
+BLOCK = 2  # examples that share a maximum in the index
 WIDE = 512  # terms with block maxima at most: those in the most examples
 EPSILON = 1e-5  # more than single precision and the order of a sum can change in a bound
 WINDOW = 1 << 17  # bytes of text whose terms are worked out at once
@@ -240,7 +240,7 @@ class Search:
         wide = np.zeros((blocks * BLOCK, len(top)))
         late = self.column[term] >= 0
         wide[row[late], self.column[term[late]]] = weight[late]
-        self.wide = wide[:n]  # [example, column] -> weight
+        self.wide, self.rough = wide[:n], wide[:n].astype(np.float32)  # [example, column] -> weight
         self.most = np.ascontiguousarray(wide.reshape(blocks, BLOCK, len(top)).max(axis=1).T.astype(np.float32)) if n else wide.T  # [column, block] -> largest weight
         self.positions, self.weights = row[~late], weight[~late]
         kept = np.where(self.column >= 0, 0, length)
@@ -263,21 +263,24 @@ class Search:
         starts = self.pointers[early]
         lengths = self.pointers[early + 1] - starts
         at = T.spread(np.arange(len(early)), starts, lengths)
-        sums = np.bincount(self.positions[at], self.weights[at] * np.repeat(weight[~late], lengths), minlength=n)
+        weights = self.weights[at]
+        weights *= np.repeat(weight[~late], lengths)
+        sums = np.bincount(self.positions[at], weights, minlength=n)
+        if without >= 0:
+            sums[without] = -2  # below any cosine
         asked = np.zeros(self.wide.shape[1])
         asked[column[late]] = weight[late]
-        bound = sums + np.repeat(weight[late].astype(np.float32) @ self.most[column[late]], BLOCK)[:n]
-        if without >= 0:
-            bound[without] = sums[without] = -2  # below any cosine
         rows = np.arange(n)
-        if n > 4 * k:
+        if n > 4 * k:  # einsum, as threads of a matrix library cost more than they save on so few numbers
+            rough = asked.astype(np.float32)
+            bound = sums + np.repeat(np.einsum("i,ij->j", rough[column[late]], self.most[column[late]]), BLOCK)[:n]
             first = np.argpartition(bound, -4 * k)[-4 * k :]
-            mark = np.partition(sums[first] + self.wide[first] @ asked, -k)[-k]
+            mark = np.partition(sums[first] + np.einsum("ij,j->i", self.rough[first], rough), -k)[-k]
             rows = np.flatnonzero(bound >= mark - EPSILON)
-            whole = sums[rows] + self.wide[rows] @ asked
-            rows = rows[whole >= np.partition(whole, -k)[-k] - EPSILON]
+            near = sums[rows] + np.einsum("ij,j->i", self.rough[rows], rough)
+            rows = rows[near >= np.partition(near, -k)[-k] - EPSILON]
         rows = rows[rows != without]
-        cosines = sums[rows] + (self.wide[rows] * asked).sum(axis=1)  # row by row, so that the last bits don't depend on the others
+        cosines = sums[rows] + np.einsum("ij,j->i", self.wide[rows], asked)  # row by row, so that the last bits don't depend on the others
         best = np.lexsort((self.ids[rows], -cosines))[:k]
         best = best[cosines[best] > 0]
         return rows[best], cosines[best]
