@@ -6,12 +6,13 @@ x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0), with M the largest norm, have
 dimensions keeps these distances up to a chi-square factor: projected distance
 over true distance, squared, is chi-square with that many degrees of freedom.
 
-Rows are cut into cells by a kd-tree over the projections; in each cell a
-finer kd-tree has leaves with bounding boxes. A query takes leaves in order of
-projected distance and verifies their rows by exact inner products, and stops
-as soon as the next box is so far that a nearer row, if it lay there, would
-have been projected nearer with the set confidence. The first pass searches a
-query's own cell, the second all others that its bound cannot exclude.
+Rows are cut into cells by a kd-tree over the projections, and each cell into
+leaves by a finer one. A query takes the rows of the leaves that it cannot
+exclude one after the other in order of their projected distance, verifies
+each by its inner product, and stops at the first whose projected distance is
+so large that a row nearer than the k-th best so far would, with the set
+confidence, have been projected nearer. The first pass searches a query's own
+cell, the second all others that its bound cannot exclude.
 
 Equal vectors are one entry with their smallest ids, so copies cost nothing
 and ties come out by id.
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 
-PROJECTED = 8  # even, for the closed form of chi-square
-CONFIDENCE = 0.97
+PROJECTED = 16  # even, for the closed form of chi-square
+CONFIDENCE = 0.95
 CELL_ROWS = 4096
 CELLS = (16, 1 << 14)
-LEAF = 128
+LEAF = 64
+STEP = 256  # rows that are verified between two looks at the bound
 SAMPLE = 1 << 16  # rows that choose the cells' borders; every row is indexed
 SEED = 20
 
@@ -69,9 +71,14 @@ class Projection:
     def queries(self, q: np.ndarray) -> np.ndarray:
         return q @ self.normal[:-1]
 
-    def squared(self, norms2: np.ndarray, products: np.ndarray) -> np.ndarray:
-        """True squared distances from inner products."""
-        return np.maximum(norms2 + self.most**2 - 2 * products, 0)
+    def squared(self, norm2: float, product: float) -> float:
+        """True squared distance from an inner product."""
+        return max(norm2 + self.most**2 - 2 * product, 0.0) if product > -math.inf else math.inf
+
+
+def _gaps(lo: np.ndarray, hi: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distance of a point to every box."""
+    return (np.maximum(np.maximum(lo - point, point - hi), 0) ** 2).sum(axis=1)
 
 
 class Cells:
@@ -104,8 +111,7 @@ class Cells:
         return node - (1 << self.depth)
 
     def gaps(self, point: np.ndarray) -> np.ndarray:
-        """Squared distance of a point to every cell."""
-        return (np.maximum(np.maximum(self.lo - point, point - self.hi), 0) ** 2).sum(axis=1)
+        return _gaps(self.lo, self.hi, point)
 
 
 def _leaves(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -118,67 +124,61 @@ def _leaves(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return _leaves(points, rows[order[: len(rows) // 2]]) + _leaves(points, rows[order[len(rows) // 2 :]])
 
 
-class Best:
-    """The k best (score, id) of each query, largest score first, ties to the smaller id."""
-
-    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
-        self.scores, self.ids, self.floor = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max), floor
-
-    @property
-    def worst(self) -> np.ndarray:
-        own = self.scores[:, -1]
-        return own if self.floor is None else np.maximum(own, self.floor)
-
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        better = (scores >= self.worst[rows][:, None]).any(axis=1)
-        rows, scores = rows[better], scores[better]
-        if not len(rows):
-            return
-        s = np.concatenate((self.scores[rows], scores), axis=1)
-        i = np.concatenate((self.ids[rows], np.broadcast_to(ids, scores.shape)), axis=1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.scores.shape[1]]
-        self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-
-
-def search(projection: Projection, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> Best:
-    """Incremental search of one cell: leaves in order of projected distance, exact verification, chi-square stop."""
-    best = Best(len(q), k, floor)
-    if not len(x) or not len(q):
-        return best
-    points, targets, norms2 = projection.rows(x), projection.queries(q), np.einsum("ij,ij->i", q, q)
-    leaves = _leaves(points, np.arange(len(x)))
-    lo, hi = np.array([points[r].min(axis=0) for r in leaves]), np.array([points[r].max(axis=0) for r in leaves])
-    gaps = np.empty((len(q), len(leaves)))
-    for j in range(len(leaves)):
-        gaps[:, j] = (np.maximum(np.maximum(lo[j] - targets, targets - hi[j]), 0) ** 2).sum(axis=1)
-    order = np.argsort(gaps, axis=1)
-    active = np.arange(len(q))
-    for step in range(len(leaves)):
-        gap = gaps[active, order[active, step]]
-        bound = np.where(np.isfinite(best.worst[active]), projection.squared(norms2[active], np.where(np.isfinite(best.worst[active]), best.worst[active], 0)) * factor, np.inf)
-        active = active[gap <= bound]
-        if not len(active):
-            break
-        at = order[active, step]
-        for leaf in np.unique(at):
-            own, rows = active[at == leaf], leaves[leaf]
-            best.add(own, q[own] @ x[rows].T, ids[rows])
-    return best
-
-
-def _found(queries: pa.Array, best: Best) -> pa.Table:
-    keep = np.isfinite(best.scores)
-    return pa.table({"q": queries.take(pa.array(np.nonzero(keep)[0])), "id": pa.array(best.ids[keep]), "score": pa.array(best.scores[keep])})
-
-
-def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by `every`, its k rows of largest inner product, without itself.
-
-    Ties go to the smaller id. Vectors that are null, zero, or hold a null or
-    non-finite component, rows with a null id, and vectors of another length
-    than most take no part. Rows that repeat id and vector count once; of an
-    id with several vectors each is a candidate. An empty table gives an
-    empty one. Other columns are not read.
+class Tree:
+    """The rows of one cell under a kd-tree over their projections."""
+
+    def __init__(self, projection: Projection, x: np.ndarray, ids: np.ndarray):
+        points = projection.rows(x)
+        leaves = _leaves(points, np.arange(len(x)))
+        order = np.concatenate(leaves)
+        self.projection, self.x, self.ids, self.points = projection, x[order], ids[order], points[order]
+        ends = np.cumsum([len(r) for r in leaves])
+        self.leaf = np.repeat(np.arange(len(leaves)), [len(r) for r in leaves])
+        starts = np.concatenate(([0], ends[:-1]))
+        self.lo, self.hi = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
+
+    def nearest(self, q: np.ndarray, k: int, factor: float, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and products of the k best rows, ties to the smaller id, of those that are of use, and how many rows were verified.
+
+        floor: a product that k rows elsewhere reach. A row's product is a sum
+        in fixed order, so it doesn't depend on the rows beside it.
+        """
+        target, norm2 = self.projection.queries(q[None])[0], float(np.einsum("i,i->", q, q))
+        bound = self.projection.squared(norm2, floor) * factor
+        rows = np.flatnonzero((_gaps(self.lo, self.hi, target) <= bound)[self.leaf])
+        far = ((self.points[rows] - target) ** 2).sum(axis=1)
+        within = far <= bound
+        rows, far = rows[within], far[within]
+        order = np.argsort(far, kind="stable")
+        rows, far = rows[order], far[order]
+        scores, ids, at = np.zeros(0), np.zeros(0, np.int64), 0
+        while at < len(rows):
+            stop = min(at + STEP, int(np.searchsorted(far, bound, side="right")))
+            if stop <= at:
+                break
+            own = rows[at:stop]
+            found = np.einsum("ij,j->i", self.x[own], q)
+            use = found >= floor
+            if use.any():
+                scores, ids = np.concatenate((scores, found[use])), np.concatenate((ids, self.ids[own[use]]))
+                best = np.lexsort((ids, -scores))[:k]
+                scores, ids = scores[best], ids[best]
+                if len(scores) == k:
+                    floor = max(floor, float(scores[-1]))
+                    bound = self.projection.squared(norm2, floor) * factor
+            at = stop
+        return ids, scores, at
+
+
+def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE, projected: int = PROJECTED) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score, verified: for each row whose id is divisible by `every`, its k rows of largest inner product, without itself; verified is the number of different vectors that were compared in full for it.
+
+    Ties go to the smaller id. Vectors that are null, empty, zero, or hold a
+    null or non-finite component, and rows with a null id take no part.
+    Vectors of different lengths have no inner product: each length is searched
+    by itself. Rows that repeat id and vector count once; of an id with several
+    vectors each is a candidate. An empty table gives an empty one. Other
+    columns are not read.
     """
     spark = df.sparkSession
     bounded_batches(spark, 4096)
@@ -186,13 +186,16 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     own = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
     own = own.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)).distinct()
     own = written(own, "ann-rows")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = own.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not lengths:
-        return empty
-    d, most = lengths[0]["d"], math.sqrt(lengths[0]["most"])
-    own = own.filter(F.size("vec") == d)
+    lengths = own.groupBy(F.size("vec").alias("d")).agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy("d").collect()  # one row per length of vectors
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
+    for r in lengths:
+        found = _of_length(own.filter(F.size("vec") == r["d"]), k, every, Projection(r["d"], math.sqrt(r["most"]), projected), chi_square_quantile(confidence, projected))
+        out = found if len(lengths) == 1 else out.unionByName(found)
+    return out
+
 
+def _of_length(own: DataFrame, k: int, every: int, projection: Projection, factor: float) -> DataFrame:
+    d = projection.d
     # classes of equal vectors; only a class's k + 1 smallest ids can be among anyone's k nearest
     classes = written(own.groupBy("vec").agg(F.min("id").alias("head"), F.max(F.col("id") % every == 0).alias("asks")), "ann-classes")
     placed = written(own.join(classes.select("vec", "head"), "vec").select("id", "head"), "ann-placed")
@@ -200,11 +203,15 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     members = placed.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1).select("head", "id")
 
     n = classes.count()
-    projection = Projection(d, most)
-    depth = max(0, min(int(math.log2(CELLS[1])), max(int(math.log2(CELLS[0])) if n > CELLS[0] * LEAF else 0, math.ceil(math.log2(max(n / CELL_ROWS, 1))))))
-    sample = classes.select("vec").orderBy(F.xxhash64("vec")).limit(min(SAMPLE, 64 << depth)).collect()  # bounded by SAMPLE
-    cells = Cells(projection.rows(np.array([r["vec"] for r in sample])), depth)
-    factor = chi_square_quantile(confidence, PROJECTED)
+    depth = max(0, min(int(math.log2(CELLS[1])), max(int(math.log2(CELLS[0])) if n > CELLS[0] * 128 else 0, math.ceil(math.log2(max(n / CELL_ROWS, 1))))))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = projection.rows(_matrix(b.column(0), d))
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), points.shape[1]).cast(pa.list_(pa.float64()))], ["point"])
+
+    sample = classes.select("vec").orderBy(F.xxhash64("vec")).limit(min(SAMPLE, 64 << depth)).mapInArrow(project, "point array<double>").toArrow()  # bounded by SAMPLE points of few dimensions
+    cells = Cells(_matrix(sample.column(0), projection.normal.shape[1]), depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,17 +219,29 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells.of(projection.rows(x)).astype(np.int32)), pa.array(cells.of(projection.queries(x)).astype(np.int32))], ["head", "vec", "asks", "cell", "home"])
 
     index = written(classes.select("head", "vec", "asks").mapInArrow(place, "head long, vec array<double>, asks boolean, cell int, home int"), "ann-index")
-    blocks = np.ones(1 << depth, np.int64)  # a cell with more rows than others is searched in blocks
-    for r in index.groupBy("cell").count().collect():
-        blocks[r["cell"]] = -(-r["count"] // (2 * CELL_ROWS))
-    parts = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
-    rows = index.select("cell", F.pmod(F.xxhash64("head"), parts).cast("int").alias("block"), "head", "vec")
+    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL_ROWS)).cast("int").alias("blocks")).collect()  # one row per cell
+    blocks = np.zeros(1 << depth, np.int64)  # a cell with more rows than others is searched in blocks; an empty one not at all
+    for r in sizes:
+        blocks[r["cell"]] = r["blocks"]
+    parts = own.sparkSession.createDataFrame([(r["cell"], r["blocks"]) for r in sizes], "cell int, blocks int")
+    rows = index.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("head"), "blocks").cast("int").alias("block"), "head", "vec")  # one row per cell
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         q, floor = _matrix(left.column("vec"), d), left.column("floor").to_numpy()
-        x, ids = _matrix(right.column("vec"), d), right.column("head").to_numpy()
-        best = search(projection, x, ids, q, k + 1, factor, floor)
-        return _found(left.column("q").combine_chunks(), best)
+        names, ids, scores, seen = left.column("q").to_numpy(), [], [], []
+        if len(q) and right.num_rows:
+            tree = Tree(projection, _matrix(right.column("vec"), d), right.column("head").to_numpy())
+            for one, least in zip(q, floor.tolist(), strict=True):
+                found, products, n = tree.nearest(one, k + 1, factor, least)
+                ids.append(found)
+                scores.append(products)
+                seen.append(n)
+        owner = np.repeat(names[: len(ids)], [len(x) for x in ids])
+        none = np.full(len(seen), None)
+        return pa.table({
+            "q": pa.array(np.concatenate((owner, names[: len(seen)])), pa.int64()), "id": pa.array([*(x for y in ids for x in y.tolist()), *none], pa.int64()),
+            "score": pa.array([*(x for y in scores for x in y.tolist()), *none], pa.float64()), "verified": pa.array([*[0] * len(owner), *seen], pa.int64()),
+        })
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where a query has to look: its home first; then all other cells within its bound."""
@@ -235,8 +254,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                 if first[i]:
                     near = [home]
                 else:
-                    bound = float(projection.squared(norms2[i], floor[i])) * factor if np.isfinite(floor[i]) else np.inf
-                    near = [c for c in np.flatnonzero(cells.gaps(points[i]) <= bound).tolist() if c != home]
+                    near = [c for c in np.flatnonzero(cells.gaps(points[i]) <= projection.squared(norms2[i], floor[i]) * factor).tolist() if c != home]
                 for c in near:
                     row += [i] * int(blocks[c])
                     cell += [c] * int(blocks[c])
@@ -246,24 +264,21 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     def passed(queries: DataFrame) -> DataFrame:
         asked = queries.mapInArrow(ask, "cell int, block int, q long, vec array<double>, floor double")
-        return asked.groupBy("cell", "block").cogroup(rows.groupBy("cell", "block")).applyInArrow(look, "q long, id long, score double")
+        return asked.groupBy("cell", "block").cogroup(rows.groupBy("cell", "block")).applyInArrow(look, "q long, id long, score double, verified long")
 
     queries = index.filter("asks").select(F.col("head").alias("q"), "vec", "home")
     one = written(passed(queries.select("q", "vec", "home", F.lit(float("-inf")).alias("floor"), F.lit(True).alias("first"))), "ann-first")
-    known = _floors(one, k)
-    two = passed(queries.join(known, "q", "left").select("q", "vec", "home", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.lit(False).alias("first")))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    best = written(one.unionByName(two).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", F.col("id").alias("head"), "score"), "ann-best")
+    # the score that a row must reach to be of use: that of the (k + 1)-th so far; at most k + 1 rows a query and block
+    known = one.filter("id IS NOT NULL").withColumn("r", F.row_number().over(order)).filter(F.col("r") == k + 1).select("q", F.col("score").alias("floor"))
+    two = written(passed(queries.join(known, "q", "left").select("q", "vec", "home", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.lit(False).alias("first"))), "ann-second")
+    both = one.unionByName(two)
+    seen = both.groupBy("q").agg(F.sum("verified").alias("verified"))
+    best = written(both.filter("id IS NOT NULL").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", F.col("id").alias("head"), "score"), "ann-best")
 
     spread = best.join(members, "head").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     lists = spread.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("near"))  # k + 1 each
     asking = placed.filter(F.col("id") % every == 0).select(F.col("head").alias("q"), F.col("id").alias("query_id"))
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
-    out = asking.join(lists, "q").select("query_id", F.posexplode(others).alias("rank", "x"))
-    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
-
-
-def _floors(one: DataFrame, k: int) -> DataFrame:
-    """The score that a query's row must reach to be of use: that of its (k + 1)-th so far. At most k + 1 rows a query and block."""
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return one.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k + 1).select("q", F.col("score").alias("floor"))
+    out = asking.join(lists.join(seen, "q"), "q").select("query_id", F.posexplode(others).alias("rank", "x"), "verified")
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"), "verified")
