@@ -22,6 +22,7 @@ left-out votes of the examples turns votes into probabilities.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,10 +46,12 @@ LONG, GRAM = 24, 3
 BLOCK = 2  # examples that share a maximum in the index
 WIDE = 512  # terms with block maxima at most: those in the most examples
 EPSILON = 1e-5  # more than single precision and the order of a sum can change in a bound
+KNOWN = 50_000  # texts whose neighbours a worker remembers, some 500 bytes each
 WINDOW = 1 << 17  # bytes of text whose terms are worked out at once
 
 _U64 = np.uint64
-_GAPS = r"[^\p{L}\p{N}\p{M}_]+"  # what lies between words
+_GAPS = r"[^\x00-\x7F\p{L}\p{N}\p{M}]+"  # what lies between words, beside the ASCII characters that are no letter, digit or underscore
+_ASCII = np.array([b if b > 127 or chr(b).isalnum() or b == 0x5F else 0x20 for b in range(256)], np.uint8)
 _TABLE = np.random.default_rng(64).integers(0, 1 << 64, (64, 256), dtype=np.uint64)  # a byte's part in a word's hash, by place
 _PARTS = _TABLE.ravel()
 
@@ -162,6 +165,7 @@ class Vectors:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) by text and term; a term is its number in the vocabulary, or its hash without one."""
         data, offsets = T.flat(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), _GAPS, " "))
+        data = _ASCII[data]
         docs, terms, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64 if self.vocabulary is not None else np.uint64)], [np.zeros(0, np.int64)]
         for a, b, inside, partial in _windows(data, offsets):
             begin = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
@@ -169,7 +173,13 @@ class Vectors:
             if self.vocabulary is not None:
                 known, codes = self._numbers(codes)
                 at = at[known]
-            parts = self._counted(np.searchsorted(offsets, a + at, side="right") - 1, codes, np.ones(len(codes), np.int64))
+            doc = np.searchsorted(offsets, a + at, side="right") - 1
+            if self.vocabulary is None:
+                parts = self._counted(doc, codes, np.ones(len(codes), np.int64))
+            else:  # text and term in one number, which sorts fast
+                keys = np.sort(doc * len(self.vocabulary) + codes)
+                starts = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+                parts = *np.divmod(keys[starts], max(len(self.vocabulary), 1)), np.diff(np.append(starts, len(keys)))
             for held, x in zip((docs, terms, counts), parts, strict=True):
                 held.append(x)
         doc, term, count = np.concatenate(docs), np.concatenate(terms), np.concatenate(counts)
@@ -271,13 +281,13 @@ class Search:
         asked = np.zeros(self.wide.shape[1])
         asked[column[late]] = weight[late]
         rows = np.arange(n)
-        if n > 4 * k:  # einsum, as threads of a matrix library cost more than they save on so few numbers
+        if n > 4 * k:
             rough = asked.astype(np.float32)
-            bound = sums + np.repeat(np.einsum("i,ij->j", rough[column[late]], self.most[column[late]]), BLOCK)[:n]
+            bound = sums + np.repeat(rough[column[late]] @ self.most[column[late]], BLOCK)[:n]
             first = np.argpartition(bound, -4 * k)[-4 * k :]
-            mark = np.partition(sums[first] + np.einsum("ij,j->i", self.rough[first], rough), -k)[-k]
+            mark = np.partition(sums[first] + self.rough[first] @ rough, -k)[-k]
             rows = np.flatnonzero(bound >= mark - EPSILON)
-            near = sums[rows] + np.einsum("ij,j->i", self.rough[rows], rough)
+            near = sums[rows] + self.rough[rows] @ rough
             rows = rows[near >= np.partition(near, -k)[-k] - EPSILON]
         rows = rows[rows != without]
         cosines = sums[rows] + np.einsum("ij,j->i", self.wide[rows], asked)  # row by row, so that the last bits don't depend on the others
@@ -311,13 +321,29 @@ class Model:
         return self.base if odds is None else 1 / (1 + math.exp(-min(30, max(-30, self.slope * odds + self.shift))))
 
 
-_last: list[tuple[object, Vectors, Search]] = []
+def one_thread() -> None:
+    """Products of so few numbers take less time than waking a matrix library's threads, which then spin; tasks are what runs side by side."""
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = {line.split()[-1] for line in f if "openblas" in line and ".so" in line}
+        for path in libraries:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    break
+    except OSError:  # no such library, or another system: slower, not wrong
+        return
+
+
+_last: list[tuple[object, Vectors, Search, dict]] = []
 
 
-def made(sent: tuple[np.ndarray, Index]) -> tuple[Vectors, Search]:
-    """A worker makes what it needs of a model once, and never holds more than one model's."""
+def made(sent: tuple[np.ndarray, Index]) -> tuple[Vectors, Search, dict[bytes, tuple]]:
+    """What a worker makes of a model, once, and neighbours by a digest of the term counts, as copies have the same. It never holds more than one model's."""
     if not _last or _last[0][0] is not sent:
-        _last[:] = [(sent, Vectors(sent[0]), Search(sent[1]))]
+        one_thread()
+        _last[:] = [(sent, Vectors(sent[0]), Search(sent[1]), {})]
     return _last[0][1:]
 
 
@@ -399,7 +425,7 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
     sent = model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, search = made(sent.value)
+        vectors, search, _ = made(sent.value)
         at = {int(i): p for p, i in enumerate(search.ids)}
         for batch in batches:
             for part in slices(batch, 2):
@@ -423,23 +449,23 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
     model.slope, model.shift = float(max(beta[0], 0.0)), float(beta[1])
 
 
-def _scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """The score of each text. known: results by a digest of the term counts, as copies have the same."""
+def _scored(model: Model, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """Score, neighbours and cosines of each text."""
     if model.sent is None:
         for _ in range(len(texts)):
             yield model.base, np.zeros(0, np.int64), np.zeros(0)
         return
-    vectors, search = made(model.sent.value)
+    vectors, search, known = made(model.sent.value)
     doc, term, count = vectors(texts)
-    if len(known) > 20_000:
+    if len(known) > KNOWN:
         known.clear()
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         key = xxhash.xxh3_128_digest(term[a:b].tobytes() + count[a:b].tobytes())
         if key not in known:
-            odds, positions, cosines = search.neighbours(term[a:b], count[a:b])
-            known[key] = model.score(odds), positions, cosines
-        yield known[key]
+            known[key] = search.neighbours(term[a:b], count[a:b])
+        odds, positions, cosines = known[key]
+        yield model.score(odds), positions, cosines
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,11 +481,10 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     held = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {}
         for batch in batches:
             for part in slices(batch, 1):
                 scores, found, near = [], [], []
-                for s, positions, cosines in _scored(model, part.column(1), known):
+                for s, positions, cosines in _scored(model, part.column(1)):
                     scores.append(s)
                     found.append(positions)
                     near.append(cosines)
@@ -480,9 +505,8 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
     column = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {}
         for batch in batches:
             for part in slices(batch, column):
-                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(model, part.column(column).cast(pa.string()), known)], pa.bool_()))
+                yield part.filter(pa.array([s < threshold for s, _, _ in _scored(model, part.column(column).cast(pa.string()))], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
