@@ -1,25 +1,30 @@
 """Mixing sources to target weights by pivotal dependent rounding, all in DataFrame functions.
 
 A source's documents share one expected number of copies, target / size. Its
-whole part is copied surely; the fraction is a probability. Two documents with
-open probabilities exchange mass, weighted by their words so that the expected
-number of words stays exact, in a random direction that keeps each
-probability's mean, until one of them is 0 or 1. That one is settled; the
-other meets the next.
-
-The exchanges form a tree: documents are dealt into groups of about FAN, each
-group settles all but one, and those residuals meet in groups of the next
-level, until each source has one residual, which is rounded to the nearer
-side. Longer documents meet first: of two, the longer tends to stay open, so
-the residual shrinks as the group goes on, and a source's words miss its
-target by half of a short document. No group, whatever the source's size,
-holds more than a few times FAN documents.
+whole part is copied surely; the fraction is a probability. Parties with open
+probabilities exchange mass, measured in words so that the expected number of
+words stays exact, in a random direction that keeps each probability's mean,
+until one of them is 0 or 1.
+
+In a group, the longest open document meets the pool of all shorter ones as
+one party: what it gains or gives is spread over their probabilities. So it is
+the long document that settles, then the next, and what stays open is the
+shortest. The groups, of about FAN documents each, form a tree: each settles
+all but one, and those residuals meet in groups of the next level, until each
+source has one, which is rounded to the nearer side.
+
+A document that is long beside a whole group (over GIANT times the mean) could
+not settle there. Such documents meet among themselves first, in the same way,
+and the last of a source meets the pool of all its other documents, which is
+one number a source. No group, whatever the source's size, holds more than a
+few times FAN documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import written
 
@@ -27,9 +32,12 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 FAN = 64
+GIANT = 16
 
-_OPEN = "struct<doc_id:bigint,k:bigint,dup:int,size:bigint,p:double>"
-_DONE = "struct<doc_id:bigint,k:bigint,dup:int,size:bigint,more:int>"
+_DOC = "struct<doc_id:bigint,k:bigint,r:bigint,dup:int,size:bigint,p:double>"
+_DONE = "struct<doc_id:bigint,k:bigint,r:bigint,dup:int,more:int>"
+_STATE = f"struct<words:double,mass:double,add:double,times:double,open:{_DOC},done:array<{_DONE}>>"
+_KEYS = ("doc_id", "k", "r", "dup")
 
 
 def n_words(text: Column) -> Column:
@@ -43,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Every source gets level * weight, or most * source_size where that is
     less; level is what makes them add up to share of all sizes. With sources
     in order of the level at which they are full, the first place where the
-    rest can take what is left gives it. One row per source.
+    rest can take what is left gives it. One row per source, all in one task:
+    the sources' names have to fit there.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -59,104 +68,149 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return reached.select("source", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.when(level.isNull(), most * F.col("source_size")).otherwise(F.least(most * F.col("source_size"), level * F.col("w"))).cast("double").alias("target"))
 
 
-def _pair(acc: Column, x: Column, seed: int) -> Column:
-    """One exchange: acc.open (struct or null) meets x; what is settled goes to acc.done."""
-    cur = acc["open"]
-    i, j = cur["p"], x["p"]
-    r = cur["size"] / x["size"]  # mass moves in words: p_i by d, p_j by -d * r
-    up, down = F.least(1 - i, j / r), F.least(i, (1 - j) / r)
-    draw = (F.xxhash64(F.lit(seed), cur["doc_id"], cur["k"], cur["dup"], x["doc_id"], x["k"], x["dup"]).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    rises = draw * (up + down) < down  # the mean of both stays
-    i_settles = F.when(rises, 1 - i <= j / r).otherwise(i <= (1 - j) / r)
-    i_more = F.when(rises, F.lit(1)).otherwise(F.lit(0))
-    new_i = F.when(rises, i + j / r).otherwise(i - (1 - j) / r)
-    new_j = F.when(rises, j - (1 - i) * r).otherwise(j + i * r)
+def _draw(seed: int, *keys: Column) -> Column:
+    """A number from 0 to 1 that depends on the keys alone."""
+    return F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
-    def done(d: Column, more: Column) -> Column:
-        return F.struct(d["doc_id"].alias("doc_id"), d["k"].alias("k"), d["dup"].alias("dup"), d["size"].alias("size"), more.cast("int").alias("more"))
 
-    def still(d: Column, p: Column) -> Column:
-        return F.struct(d["doc_id"].alias("doc_id"), d["k"].alias("k"), d["dup"].alias("dup"), d["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
+def _exchange(own: Column, p: Column, mass: Column, words: Column, draw: Column) -> tuple[Column, Column]:
+    """One document of `own` words and probability p meets a pool of `words` words, `mass` of them expected: (its new p, the pool's new mass).
 
-    settled = F.when(i_settles, done(cur, i_more)).otherwise(done(x, 1 - i_more))
-    onward = F.when(i_settles, still(x, new_j)).otherwise(still(cur, new_i))
-    first = F.struct(still(x, j).cast(_OPEN).alias("open"), acc["done"].alias("done"))
-    later = F.struct(onward.cast(_OPEN).alias("open"), F.concat(acc["done"], F.array(settled.cast(_DONE))).alias("done"))
-    return F.when(cur.isNull(), first).otherwise(later)
+    The direction is drawn so that both means stay. Only where the pool can
+    take the exchange in one direction alone, that one is taken: the document
+    would stay open for good, and its rounding cost the source its target.
+    """
+    up, down = F.least((1 - p) * own, mass), F.least(p * own, words - mass)
+    can_rise, can_fall = (1 - p) * own <= mass, p * own <= words - mass
+    rises = F.when(can_rise & ~can_fall, True).when(can_fall & ~can_rise, False).otherwise(draw * (up + down) < down)
+    moved = F.when(rises, up).otherwise(-down)
+    settled = F.when(rises, up == (1 - p) * own).otherwise(down == p * own)
+    new = F.when(settled, F.when(rises, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p + moved / own)))
+    return new, mass - moved
+
+
+def _meet(acc: Column, x: Column, seed: int) -> Column:
+    """The longest open document x meets the pool of those after it.
+
+    acc: words and mass, of the documents from x on, by their first
+    probabilities; add and times, which give a document's probability now as
+    add + times * first; open, the document that is left if the pool settled
+    before it; done.
+    """
+    words, mass = acc["words"] - x["size"], acc["mass"] - x["size"] * x["p"]
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["add"] + acc["times"] * x["p"]))
+    now = F.greatest(F.lit(0.0), F.least(words, acc["add"] * words + acc["times"] * mass))  # of the pool
+    new, after = _exchange(x["size"].cast("double"), p, now, words, _draw(seed, x["doc_id"], x["k"], x["r"], x["dup"]))
+    # the pool's probabilities shrink towards 0, or towards 1, in proportion
+    fall, rise = F.coalesce(F.try_divide(after, now), F.lit(0.0)), F.coalesce(F.try_divide(words - after, words - now), F.lit(0.0))
+    shrinks = after <= now
+    add = F.when(shrinks, acc["add"] * fall).otherwise(1 - (1 - acc["add"]) * rise)
+    times = acc["times"] * F.when(shrinks, fall).otherwise(rise)
+    left = acc["open"].isNotNull()  # the pool has settled, but for rounding of the sums
+    whole = left | (new == 0) | (new == 1)
+    keys = [x[c].alias(c) for c in _KEYS]
+    held = F.struct(*keys, x["size"].alias("size"), new.alias("p")).cast(_DOC)
+    done = F.struct(*keys, (F.when(left, p).otherwise(new) >= 0.5).cast("int").alias("more")).cast(_DONE)
+    return F.struct(
+        words.alias("words"), mass.alias("mass"), add.alias("add"), times.alias("times"),
+        F.when(whole, acc["open"]).otherwise(held).alias("open"),
+        F.when(whole, F.concat(acc["done"], F.array(done))).otherwise(acc["done"]).alias("done"),
+    ).cast(_STATE)
 
 
 def _level(open_: DataFrame, level: int, fan: int, seed: int) -> DataFrame:
-    """One level of the tree: source, residual, done (array) for each group."""
+    """One level of the tree: source, residual (or null), done (array) for each group."""
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_open") / fan)).cast("long")
-    dealt = open_.withColumn("g", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "k", "dup"), groups))
-    member = F.struct((-F.col("size")).alias("order"), F.xxhash64(F.lit(-seed - level), "doc_id", "k", "dup").alias("h"), "doc_id", "k", "dup", "size", "p")
+    dealt = open_.withColumn("g", F.pmod(F.xxhash64(F.lit(seed + level), *_KEYS), groups))
+    member = F.struct((-F.col("size")).alias("order"), F.xxhash64(F.lit(-seed - level), *_KEYS).alias("h"), *_KEYS, "size", "p")
     grouped = dealt.groupBy("source", "g").agg(F.array_sort(F.collect_list(member)).alias("docs"))
-    start = F.struct(F.lit(None).cast(_OPEN).alias("open"), F.array().cast(f"array<{_DONE}>").alias("done"))
-    settled = F.aggregate("docs", start, lambda acc, x: _pair(acc, x, seed + level))
-    return grouped.select("source", settled.alias("s")).select("source", F.col("s.open").alias("residual"), F.col("s.done").alias("done"))
+    total = lambda f: F.aggregate("docs", F.lit(0.0), lambda a, x: a + f(x))
+    start = F.struct(total(lambda x: x["size"]).alias("words"), total(lambda x: x["size"] * x["p"]).alias("mass"), F.lit(0.0).alias("add"), F.lit(1.0).alias("times"), F.lit(None).cast(_DOC).alias("open"), F.array().cast(f"array<{_DONE}>").alias("done")).cast(_STATE)
+    met = F.aggregate("docs", start, lambda acc, x: _meet(acc, x, seed + level))
+    return grouped.select("source", met.alias("s")).select("source", F.col("s.open").alias("residual"), F.col("s.done").alias("done"))
+
+
+def _settled(open_: DataFrame, fan: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """What the tree settles (source, keys, more), and the last document of each source (source, keys, size, p)."""
+    parts, level = [], 0
+    while True:
+        counts = open_.groupBy("source").agg(F.count("*").alias("n_open"))
+        most = counts.agg(F.max("n_open")).first()[0] or 0
+        if level and most <= 1 or not most:
+            return parts, open_
+        own = counts.select(F.col("source").alias("s"), "n_open")
+        dealt = open_.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        out = written(_level(dealt, level, fan, seed), "mix-level")
+        parts.append(out.select("source", F.explode("done").alias("d")).select("source", *(f"d.{c}" for c in (*_KEYS, "more"))))
+        open_, level = out.filter("residual IS NOT NULL").select("source", "residual.*"), level + 1
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, fan: int = FAN, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies, taken (copies * size), and k, dup, which tell rows with the same id apart.
+    """One row per input row: doc_id, size, source_size, target, copies, taken (copies * size), and k, r, dup, which tell rows with the same id apart.
 
     size counts words; null text has none, and documents without words are
     taken 0 times. A null source is a source. Null ids are allowed; rows that
-    share id and text are numbered by dup and drawn each by itself. The same
-    table gives the same copies. No document is copied more than `most` times.
+    are equal in all columns are numbered by dup and drawn each by itself. The
+    same table gives the same copies. No document is copied more than `most`
+    times.
     """
-    k = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), k.alias("k"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-    same = Window.partitionBy("doc_id", "k").orderBy("source")
-    sizes = written(rows.withColumn("dup", F.row_number().over(same)), "mix-sizes")
+    sizes = written(_units(df, id_col, text_col, source_col), "mix-sizes")
     targets = written(source_targets(sizes, weights, share, most), "mix-targets")
     per = targets.select(F.col("source").alias("s"), "source_size", "target")
     joined = sizes.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    base = F.floor(rate + 1e-12).cast("int")
-    planned = written(joined.withColumn("base", F.least(base, F.lit(most))).withColumn("p", F.when((rate - F.col("base") > 1e-12) & (F.col("size") > 0), rate - F.col("base")).otherwise(0.0)), "mix-planned")
-
-    counts = planned.filter("p > 0").groupBy("source").agg(F.count("*").alias("n_open"))
-    open_ = _counted(planned.filter("p > 0").select("source", "doc_id", "k", "dup", "size", "p"), counts)
-    most_open = counts.agg(F.max("n_open")).first()[0] or 0
-    level, parts = 0, []
-    while most_open:
-        out = written(_level(open_, level, fan, seed), "mix-level")
-        parts.append(out.select("source", F.explode("done").alias("d")).select("source", "d.doc_id", "d.k", "d.dup", "d.more"))
-        left = out.select("source", "residual.*")
-        if most_open <= fan:  # each source has one group and so one residual
-            parts.append(left.select("source", "doc_id", "k", "dup", (F.col("p") >= 0.5).cast("int").alias("more")))
-            break
-        counts = left.groupBy("source").agg(F.count("*").alias("n_open"))
-        most_open = counts.agg(F.max("n_open")).first()[0] or 0
-        open_, level = _counted(left, counts), level + 1
-
-    found = planned.withColumn("more", F.lit(0))
-    if parts:
-        drawn = parts[0]
-        for p in parts[1:]:
-            drawn = drawn.unionByName(p)
-        keys = ["doc_id", "k", "dup"]
-        drawn = drawn.select(*(F.col(c).alias(f"d_{c}") for c in (*keys, "source")), "more")
-        match = F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("k") == F.col("d_k")) & (F.col("dup") == F.col("d_dup")) & F.col("source").eqNullSafe(F.col("d_source"))
-        found = planned.join(drawn, match, "left").select(planned["*"], F.coalesce("more", F.lit(0)).alias("more"))
-    copies = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(0)
-    return found.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "k", "dup")
-
-
-def _counted(open_: DataFrame, counts: DataFrame) -> DataFrame:
-    own = counts.select(F.col("source").alias("s"), "n_open")
-    return open_.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    base = F.least(F.floor(rate + 1e-12).cast("int"), F.lit(most))
+    planned = written(joined.withColumn("base", base).withColumn("p", F.when((rate - F.col("base") > 1e-12) & (F.col("size") > 0), rate - F.col("base")).otherwise(0.0)), "mix-planned")
+
+    # a source's open documents share one probability; giants settle first and move it
+    mean = planned.filter("p > 0").groupBy("source").agg((F.avg("size") * GIANT).alias("limit"))
+    open_ = planned.filter("p > 0").join(mean.select(F.col("source").alias("s"), "limit"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("giant", F.col("size") > F.col("limit"))
+    columns = ["source", *_KEYS, "size", "p"]
+    parts, left = _settled(open_.filter("giant").select(*columns), fan, seed - 1)
+    pools = open_.filter("NOT giant").groupBy("source").agg(F.sum(F.col("size").cast("double")).alias("words"), F.max("p").alias("shared"))
+    last = left.select(*columns).join(pools.select(F.col("source").alias("s"), "words", "shared"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    p, mass = _exchange(F.col("size").cast("double"), F.col("p"), F.col("shared") * F.col("words"), F.col("words"), _draw(seed - 2, *map(F.col, _KEYS)))
+    met = written(last.select(*(c for c in columns if c != "p"), p.alias("p"), F.coalesce(F.try_divide(mass, F.col("words")), F.lit(0.0)).alias("pool")), "mix-giants")  # a row per source at most
+    parts.append(met.select("source", *_KEYS, (F.col("p") >= 0.5).cast("int").alias("more")))
+    pool = met.select(F.col("source").alias("s"), F.when(F.col("pool") < 1e-12, 0.0).when(F.col("pool") > 1 - 1e-12, 1.0).otherwise(F.col("pool")).alias("pool"))
+    small = open_.filter("NOT giant").join(pool, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("p", F.coalesce("pool", "p")).select(*columns)
+    parts.append(small.filter("p IN (0, 1)").select("source", *_KEYS, F.col("p").cast("int").alias("more")))
+    more, left = _settled(small.filter("p > 0 AND p < 1"), fan, seed)
+    parts += [*more, left.select("source", *_KEYS, (F.col("p") >= 0.5).cast("int").alias("more"))]
+
+    drawn = parts[0]
+    for part in parts[1:]:
+        drawn = drawn.unionByName(part)
+    drawn = drawn.select(*(F.col(c).alias(f"d_{c}") for c in _KEYS), "more")
+    match = F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("k") == F.col("d_k")) & (F.col("r") == F.col("d_r")) & (F.col("dup") == F.col("d_dup"))
+    found = planned.join(drawn, match, "left")
+    copies = F.when(F.col("size") > 0, F.col("base") + F.coalesce("more", F.lit(0))).otherwise(0)
+    return found.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "k", "r", "dup")
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """doc_id; k, a hash of the text; r, a hash of all columns that can be hashed: rows that agree in them are equal."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("k"), F.xxhash64(*hashed).alias("r")]
+
+
+def _units(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, k, r, dup, source, size for each row. Equal rows are counted, which combines before the shuffle, and numbered."""
+    rows = df.select(*_named(df, id_col, text_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
+    counted = rows.groupBy("doc_id", "k", "r", "source", "size").agg(F.count("*").alias("n"))
+    return counted.select("doc_id", "k", "r", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("dup"))
 
 
 def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of df, all columns as they are, each as often as mix() takes it."""
-    plan = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0")
-    total = plan.select(F.col(id_col).alias("_id"), F.col("k").alias("_k"), F.col("dup").alias("_dup"), F.col("copies").alias("_copies"))
-    k = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    own = df.withColumns({"_k2": k})
-    if plan.filter("dup > 1").isEmpty():
-        own = own.withColumn("_dup2", F.lit(1))
-    else:  # equal rows: any numbering gives the same table
-        own = own.withColumn("_dup2", F.row_number().over(Window.partitionBy(id_col, "_k2").orderBy(source_col)))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_k2") == F.col("_k")) & (F.col("_dup2") == F.col("_dup"))
-    return own.join(total, match).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    """The mix itself: the rows of df, all columns as they are, whatever their names, each as often as mix() takes it."""
+    plan = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options).withColumnRenamed(id_col, "doc_id")
+    total = written(plan.groupBy("doc_id", "k", "r").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0"), "mix-copies")
+    total = total.select(F.col("doc_id").alias("d_doc_id"), F.col("k").alias("d_k"), F.col("r").alias("d_r"), "copies", "rows")
+    own = df.select(*_named(df, id_col, text_col), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    match = F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("k") == F.col("d_k")) & (F.col("r") == F.col("d_r"))
+    out = own.join(total.filter("rows = 1"), match).select("row", "copies")
+    several = total.filter("rows > 1")
+    if not several.isEmpty():  # equal rows: one stands for all
+        one = own.join(several, match, "left_semi").groupBy("doc_id", "k", "r").agg(F.any_value("row").alias("row"))
+        out = out.unionByName(one.join(several, match).select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
