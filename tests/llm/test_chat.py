@@ -1,10 +1,14 @@
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from voxmill.llm import chat
+from voxmill.llm import chat as C
 
 texts = st.lists(st.sampled_from([*"\\#<>/: \nab", "### ", " </turn>\n", "<image:0>", "assistant"]), max_size=25).map("".join) | st.text(max_size=15)
 
@@ -49,3 +53,37 @@ def test_typed_column(spark):
     df = spark.createDataFrame([(1, 0, "user", [("text", "hi", None), ("image", None, "r1")]), (1, 1, "user", [("image", None, "r2")])], "conv_id long, turn long, role string, text array<struct<type:string,text:string,ref:string>>")
     rows = chat.format_chat(df).orderBy("begin").collect()
     assert [[a["ref"] for a in r["attachments"]] for r in rows] == [["r1"], ["r2"]] and [a["number"] for r in rows for a in r["attachments"]] == [0, 1]
+
+
+def digest_rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_read_back_from_a_stored_table(spark, tmp_path):
+    """Rows from anywhere, in any order and partitioning, give the same digests."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"conversation {c} turn {t} # <x> </turn>\n\\") for c in range(284) for t in range(7)] + [(None, 0, "user", "no id"), (None, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = C.format_chat(df)
+    want = digest_rows(C.digests(formatted, in_order=True))
+    assert len(want) == 285
+    formatted.write.parquet(str(tmp_path / "chat"))
+    stored = spark.read.parquet(str(tmp_path / "chat"))
+    for again in (stored, stored.repartition(3), stored.orderBy("formatted"), formatted.repartition(5)):
+        assert digest_rows(C.digests(again)) == want
+
+
+def test_very_long_text(spark):
+    for text in ("a" * 10_000_000, "\\" * 3_000_001, "<" * 3_000_000, "x <y> # \\ " * 300_000):
+        turn = C.format_turn("user", text).text
+        assert C.read_turns(turn) == [("user", text)]
+    long = "b </turn>\n#" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "hi", "z"), (1, 1, "assistant", long, "z"), (1, 1, "assistant", long, "z")], "conv_id long, turn long, role string, text string, formatted string")
+    row = C.digests(C.format_chat(df)).collect()[0]
+    assert row["n_turns"] == 3 and row["loss_chars"] == 2 * len(long)
+
+
+def test_memory_of_reading(tmp_path):
+    """Reading a turn of ten million characters back takes a few copies of it."""
+    code = "import resource, sys; sys.path.insert(0, '.')\nfrom voxmill.llm import chat as C\nt = C.format_turn('user', 'a<' * 5_000_000).text\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nassert len(C.read_turns(t)[0][1]) == 10_000_000\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2]).stdout)
+    assert grown < 300_000

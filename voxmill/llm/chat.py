@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, slices
 
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
 LOSS_ROLES = ("assistant",)
 
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*) </turn>\n", re.DOTALL)
+STRETCH = 1 << 20  # code points that are unescaped at once
+_HEAD = re.compile(r"### ((?:[^\\:]++|\\.)*+): ", re.DOTALL)  # possessive, so that nothing is remembered for going back
 _HOLDER = re.compile(r"\\.|<(image|audio|document):(\d+)>", re.DOTALL)
 
 
@@ -43,7 +44,21 @@ def escape_role(role: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
+    return "".join(_unescaped(text))
+
+
+def _unescaped(text: str) -> Iterator[str]:
+    """The text without its escapes, in stretches."""
+    at = 0
+    while at < len(text):
+        end = min(at + STRETCH, len(text))
+        back = end
+        while back > at and text[back - 1] == "\\":
+            back -= 1
+        end += (end - back) % 2  # not between a backslash and what it escapes
+        part = text[at:end]
+        yield _ESCAPED.sub(r"\1", part) if "\\" in part else part
+        at = end
 
 
 @dataclass(frozen=True)
@@ -117,11 +132,12 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of every turn of a formatted conversation; placeholders stay as they are. Raises ValueError if anything else is in it."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        m = _HEAD.match(formatted, at)
+        end = formatted.find(CLOSE, m.end()) if m else -1  # in a text, < has a backslash before it
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(m[1]), unescape(formatted[m.end() : end])))
+        at = end + len(CLOSE)
     return out
 
 
@@ -153,7 +169,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at, number = object(), 0, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             rows = []
             for key, who, parts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if key != last:
@@ -182,9 +198,9 @@ class _Digest:
             self.turns.update(f"{role}\n{text}\n".encode())
             self.n += 1
         if loss:
-            own = unescape(formatted[loss[0] : loss[1]])
-            self.loss.update(own.encode())
-            self.loss_chars += len(own)
+            for own in _unescaped(formatted[loss[0] : loss[1]]):
+                self.loss.update(own.encode())
+                self.loss_chars += len(own)
         self.chars += len(formatted)
 
     @property
@@ -192,10 +208,13 @@ class _Digest:
         return (self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
 
-def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
+def digests(formatted: DataFrame, conv: str = "conv_id", in_order: bool = False) -> DataFrame:
     """One row per conversation of format_chat()'s output: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text.
 
-    A conversation's turns pass as a stream, so its length has no bound.
+    A conversation's turns pass as a stream, so its length has no bound. The
+    rows may come from anywhere, as a stored table; in_order says that they
+    are format_chat()'s very output, which has conversations together and in
+    order, and saves a shuffle.
     """
     kind = formatted.schema[conv].dataType.simpleString()
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -208,7 +227,7 @@ def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
             columns = list(zip(*done, strict=True)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [key_type, *types], strict=True)], names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             done, key_type = [], batch.schema.field(0).type
             for key, text, at, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if digest is None or key != last:
@@ -221,5 +240,7 @@ def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
             yield out([(last, *digest.row)])
 
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    own = formatted.select(F.col(conv).alias("conv"), "formatted", "begin", "loss_begin", "loss_end")  # format_chat() leaves conversations together and in order
+    own = formatted.select(F.col(conv).alias("conv"), "formatted", "begin", "loss_begin", "loss_end")
+    if not in_order:
+        own = own.repartition("conv").sortWithinPartitions("conv", "begin")
     return own.mapInArrow(run, schema).withColumnRenamed("conv", conv)

@@ -57,7 +57,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, each with at most `limit` bytes in the given text column, or one row."""
+    """Parts of a batch, each with at most `limit` bytes in the given text column (nested ones: on average), or one row."""
     n, start = batch.num_rows, 0
     if not n:
         return
@@ -68,6 +68,10 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
     import numpy as np
     import pyarrow.compute as pc
 
+    if pa.types.is_nested(text.type):
+        rows = max(1, int(n * limit / text.nbytes))  # by the mean, as nested values have no length of their own
+        yield from (batch.slice(at, rows) for at in range(0, n, rows))
+        return
     ends = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     while start < n:
         before = ends[start - 1] if start else 0
