@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from voxmill.llm import linededup
 
@@ -71,6 +72,8 @@ def test_odd_rows(spark, odd_docs):
     assert len(rows) == odd_docs.count() and set(odd_docs.columns) <= set(out.columns)
     assert sum(r["text"] is None for r in rows) == 2 and {r["n_lines"] for r in rows if r["text"] is None} == {0}
     assert linededup.dedup_lines(odd_docs.limit(0)).count() == 0
+    kept = [c for c in odd_docs.columns if c not in ("text", "removed_lines")]
+    assert Counter(tuple(r[c] for c in kept) for r in rows) == Counter(tuple(r[c] for c in kept) for r in odd_docs.collect())
 
 
 def plain_left(before, after, least=50):
@@ -121,3 +124,13 @@ def test_no_repeated_stretch_in_documents(spark, documents):
     before = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
     after = {r["doc_id"]: r["text"] or "" for r in linededup.dedup_lines(documents).collect()}
     assert not plain_left(before, after)
+
+
+def test_exact_copies_of_long_documents(spark):
+    """Of a copy all lines go, and of a passage among others all but its rim, in the order of the document."""
+    lines = filler("copy", 2000)
+    passage = filler("shared", 30)
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(filler("x", 5) + passage + filler("y", 5))), (4, "\n".join(filler("z", 7) + passage + filler("q", 2)))]
+    got = run(spark, rows)
+    assert got[1]["removed_lines"] == got[3]["removed_lines"] == 0 and got[2]["removed_lines"] >= 0.95 * 2000
+    assert got[4]["removed_lines"] == 30 and got[4]["text"].split("\n") == filler("z", 7) + filler("q", 2)

@@ -114,7 +114,8 @@ def removals(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE,
     whole = F.transform(F.filter(numbered, counts), lambda c: F.struct(c["i"].alias("i"), F.xxhash64(F.array_join(F.transform(F.slice("_hashes", c["a"], c["n"]), lambda h: h.cast("string")), ",")).alias("h")))
     single = F.transform(F.col("_full"), lambda at, j: F.struct((-1 - j).alias("i"), F.col("_hashes")[at].alias("h")))  # below 0: lines that aren't blank, by number
     seen = written(cut.select("_k1", "_k2", F.explode(F.concat(whole, single)).alias("c")).select("_k1", "_k2", "c.*"), "line-chunks")
-    repeated = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # aggregates are written before they are joined with: their hot keys combine before the shuffle, and the join's can then be split
+    repeated = written(seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-hashes")
     asked = seen.join(repeated, "h").groupBy("_k1", "_k2").agg(F.collect_set("i").alias("_asked"))  # of one document
 
     found = cut.join(asked.hint("merge"), ["_k1", "_k2"])
@@ -123,7 +124,7 @@ def removals(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE,
 
     chunks = parts.select("_k1", "_k2", F.inline("_texts")).filter(F.length(F.trim("chunk")) > 0)
     place = F.struct("_k1", "_k2", "i")
-    first = chunks.groupBy("chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("chunk", "first")
+    first = written(chunks.groupBy("chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("chunk", "first"), "line-firsts")
     later = chunks.join(first, "chunk").filter(place != F.col("first")).select("_k1", "_k2", "i", F.lit(None).cast("struct<a:int,b:int>").alias("lines"))
 
     # A hash that stands for two lines proves nothing; there is hardly ever one.
@@ -132,7 +133,7 @@ def removals(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE,
     if doubtful:
         windows = windows.filter(~F.arrays_overlap("key", F.array(*map(F.lit, doubtful))))
     start = F.struct("_k1", "_k2", "j")
-    known = windows.groupBy("key").agg(F.min(start).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    known = written(windows.groupBy("key").agg(F.min(start).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "line-windows")
     again = windows.join(known, "key").filter(start != F.col("first"))
     own = (F.col("first._k1") == F.col("_k1")) & (F.col("first._k2") == F.col("_k2"))
     common = F.when(own, F.greatest(F.lit(0), F.col("first.j") + F.size("ats") - F.col("j"))).otherwise(0)  # lines that are the first occurrence's, too
@@ -141,7 +142,7 @@ def removals(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE,
 
 
 def dedup_lines(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, all columns as they are, with repeated chunks taken out of the text, plus n_lines, removed_lines, removed_chunks.
+    """df, all columns as they are, whatever their names, with repeated chunks taken out of the text, plus n_lines, removed_lines, removed_chunks.
 
     A chunk counts if it has two lines or more, or one line of at least
     `long_line` words, and isn't blank; a stretch of lines, with the blank ones
@@ -149,22 +150,20 @@ def dedup_lines(df: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LIN
     removed_chunks. The first occurrence, by id, then text hash, then place,
     stays. Null text stays null with 0 lines; the order of
     what is left doesn't change. Rows that share id and text are one document
-    and are treated alike; null ids come first. Added names that df has
-    already are replaced.
+    and are treated alike; null ids come first. The three added names replace
+    columns of df that have them already.
     """
     gone = removals(df, divisor, long_line, id_col, text_col)
-    keyed = df.select("*", *_keys(id_col, text_col))
-    joined = _chunked(keyed.join(gone.hint("merge"), ["_k1", "_k2"], "left"), text_col, divisor, long_line)
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("_text"), *_keys(id_col, text_col))
+    joined = _chunked(keyed.join(gone.hint("merge"), ["_k1", "_k2"], "left"), "_text", divisor, long_line)
     dropped = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     of_chunks = F.transform(dropped, lambda i: F.sequence(F.col("_chunks")[i]["a"] - 1, F.col("_chunks")[i]["a"] + F.col("_chunks")[i]["n"] - 2))
     of_stretches = F.transform(F.coalesce(F.col("_ranges"), F.array().cast("array<struct<a:int,b:int>>")), lambda r: F.sequence(r["a"], r["b"]))
     joined = joined.withColumn("_out", F.array_distinct(F.flatten(F.concat(of_chunks, of_stretches))))
     out = F.col("_out")
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), out), lambda i: F.col("_lines")[i]), "\n")
-    text = F.when(F.size(out) == 0, F.col(text_col)).otherwise(left)
-    removed = F.size(out)
-    added = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")), "removed_lines": removed, "removed_chunks": F.size(dropped), text_col: text}
-    out = joined.withColumns({f"_new_{k}": v for k, v in added.items()})
-    base = [F.col(f"_new_{text_col}").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("n_lines", "removed_lines", "removed_chunks")]
-    final = [*base, *(F.col(f"_new_{c}").cast("int").alias(c) for c in ("n_lines", "removed_lines", "removed_chunks"))]
-    return out.select(F.inline(F.array(F.struct(*final))))  # a caller's filter stays above; pushed below, it would repeat the work above for each use of a column
+    text = F.when(F.size(out) == 0, F.col("_text")).otherwise(left)
+    added = {"n_lines": F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")), "removed_lines": F.size(out), "removed_chunks": F.size(dropped)}
+    base = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns if c not in added]
+    final = [*base, *(v.cast("int").alias(c) for c, v in added.items())]
+    return joined.select(F.inline(F.array(F.struct(*final))))  # a caller's filter stays above; pushed below, it would repeat the work above for each use of a column
