@@ -16,6 +16,7 @@ member, and no link between components is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,17 +133,32 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """node, set: a document's shingle hashes as bytes, so that they are worked out once however often they are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1), width)], pa.binary())], ["node", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary")
+
+
+def _read(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets.
 
     Pairs are grouped by a; a group of more than CHUNK is split. A task reads
-    a's text first, keeps its set, and streams the others past it.
+    a's set first, and streams the others past it.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+    groups = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "neardup-groups")  # combined before the shuffle; the join's hot keys can then be split
     cut = pairs.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("n")).cast("int"))
     members = cut.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("turn"))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("turn"))
-    dealt = heads.unionByName(members).join(texts.hint("merge"), "node").select("a", "part", "turn", "node", "text")
+    dealt = heads.unionByName(members).join(sets.hint("merge"), "node").select("a", "part", "turn", "node", "set")
     dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "turn", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +166,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) ->
         for batch in batches:
             for part in slices(batch, 4):
                 one, other = [], []
-                rows = zip(*(part.column(i).to_pylist() for i in range(4)), shingle_sets(part.column(4), width), strict=True)
+                rows = zip(*(part.column(i).to_pylist() for i in range(4)), _read(part.column(4)), strict=True)
                 for a, p, turn, node, s in rows:
                     if (a, p) != group:
                         group, held = (a, p), []
@@ -164,35 +180,44 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) ->
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links between different components of a bucket that don't go through its head.
 
-    placed: key, node, head, component. In a bucket, the members outside the
-    component of the head are held against all members (but the head, which
-    has been compared with each). Only links leave a task, one for a member and
-    another component, so no table of pairs arises. Large buckets are cut
-    into blocks on both sides.
+    placed: key, node, head, n_shingles, component. In a bucket, the members
+    outside the component of the head are held against all members (but the
+    head, which has been compared with each) of a size that allows a link:
+    sizes fall in classes by a factor of 100 / percent, and only neighbouring
+    classes meet. Only links leave a task, one for a member and another
+    component, so no table of pairs arises. Large classes are cut into blocks
+    on both sides.
     """
     main = placed.filter("node = head").select("key", F.col("component").alias("main"))
-    others = placed.filter("node <> head").join(main, "key")
-    per = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("strays"))
-    per = per.filter("lo <> hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("mb"), F.ceil(F.col("strays") / CHUNK).cast("int").alias("sb"))
-    open_ = written(others.join(per, "key"), "neardup-open")
+    sized = placed.filter("node <> head").withColumn("c", F.floor(F.ln("n_shingles") / math.log(100 / percent + 1e-7)).cast("int"))
+    others = written(sized.join(main, "key"), "neardup-others")
+    several = written(others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "neardup-open-keys")
+    open_ = written(others.join(several, "key"), "neardup-open")
+    per = open_.groupBy("key", "c").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("mb"), F.ceil(F.count_if(F.col("component") != F.col("main")) / CHUNK).cast("int").alias("sb"))
+    per = written(per, "neardup-blocks")
     nth = F.xxhash64("node")
+    near = F.explode(F.array(*(F.col("c") + d for d in (-1, 0, 1))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    strays = open_.filter("component <> main").select("key", F.pmod(nth, F.col("sb")).cast("int").alias("s"), "mb", F.lit(0).alias("turn"), "node", "component").withColumn("m", every("mb"))
-    members = open_.select("key", F.pmod(nth, F.col("mb")).cast("int").alias("m"), "sb", F.lit(1).alias("turn"), "node", "component").withColumn("s", every("sb"))
-    columns = ["key", "s", "m", "turn", "node", "component"]
-    dealt = strays.select(*columns).unionByName(members.select(*columns)).join(texts.hint("merge"), "node").select(*columns, "text")
-    dealt = dealt.repartition("key", "s", "m").sortWithinPartitions("key", "s", "m", "turn", "node")
+    blocks = lambda c, n: per.filter(f"{n} > 0").select("key", F.col("c").alias(c), n)
+    strays = open_.filter("component <> main").join(per.select("key", "c", "sb"), ["key", "c"])
+    strays = strays.select("key", F.col("c").alias("sc"), F.pmod(nth, "sb").cast("int").alias("s"), near.alias("mc"), F.lit(0).alias("turn"), "node", "component").join(blocks("mc", "mb"), ["key", "mc"]).withColumn("m", every("mb"))
+    members = open_.join(per.select("key", "c", "mb"), ["key", "c"])
+    members = members.select("key", F.col("c").alias("mc"), F.pmod(nth, "mb").cast("int").alias("m"), near.alias("sc"), F.lit(1).alias("turn"), "node", "component").join(blocks("sc", "sb"), ["key", "sc"]).withColumn("s", every("sb"))
+    group = ["key", "sc", "s", "mc", "m"]
+    columns = [*group, "turn", "node", "component"]
+    dealt = strays.select(*columns).unionByName(members.select(*columns)).join(sets.hint("merge"), "node").select(*columns, "set")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "turn", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, table, told = None, [], None, set()
         for batch in batches:
-            for part in slices(batch, 6):
-                sets = shingle_sets(part.column(6), width)
-                keys = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
-                turns, nodes, comps = (part.column(i).to_pylist() for i in (3, 4, 5))
+            for part in slices(batch, 8):
+                sets = _read(part.column(8))
+                keys = list(zip(*(part.column(i).to_pylist() for i in range(5)), strict=True))
+                turns, nodes, comps = (part.column(i).to_pylist() for i in (5, 6, 7))
                 one, other, i = [], [], 0
                 while i < len(keys):
                     if keys[i] != group:
@@ -252,27 +277,30 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = written(_features(docs, width, bands, rows), "neardup-features")
     valid = features.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = written(valid.groupBy("digest").agg(F.min("doc_id").alias("node")), "neardup-classes")
-    heads = valid.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "keys")
-    bucketed = heads.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    classes = written(valid.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")), "neardup-classes")
+    bucketed = classes.select("node", "n_shingles", F.explode(F.array_distinct("keys")).alias("key"))
     turned = F.xxhash64("key")  # node ^ turned orders a bucket's nodes afresh for each key, and gives the node back
     buckets = bucketed.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turned)).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = written(bucketed.join(buckets.select("key", F.col("least").bitwiseXOR(turned).alias("head")), "key"), "neardup-members")
+    buckets = written(buckets.select("key", F.col("least").bitwiseXOR(turned).alias("head")), "neardup-buckets")
+    members = written(bucketed.join(buckets, "key"), "neardup-members")
     asked = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.join(asked.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "neardup-texts")
+    sets = _sets(docs.join(asked.hint("merge"), "doc_id", "left_semi"), width)
+    repeated = written(valid.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "neardup-repeated")
+    if not repeated.isEmpty():
+        sets = sets.distinct()
+    sets = written(sets, "neardup-sets")
 
     pairs = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(texts, written(pairs, "neardup-pairs"), width, percent), "neardup-confirmed")
-    placed = members.join(components(links), "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("component"))
-    more = written(_across(texts, placed, width, percent), "neardup-confirmed")
+    links = written(_confirmed(sets, written(pairs, "neardup-pairs"), percent), "neardup-confirmed")
+    placed = members.join(components(links), "node", "left").select("key", "node", "head", "n_shingles", F.coalesce("component", "node").alias("component"))
+    more = written(_across(sets, placed, percent), "neardup-confirmed")
 
     # an id with several texts links their classes
-    repeated = valid.select("doc_id", "digest").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    by_id = valid.join(repeated, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    by_id = valid.join(repeated, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     final = written(components(links.unionByName(more).unionByName(by_id)), "neardup-components")
 
     own = features.select("doc_id", "n_shingles", "digest")
-    found = own.join(classes, "digest", "left").join(final, "node", "left")
+    found = own.join(classes.select("digest", "node"), "digest", "left").join(final, "node", "left")
     reach = F.least(F.coalesce("component", "node", "doc_id"), F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), reach)
     return found.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
