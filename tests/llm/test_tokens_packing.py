@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -69,3 +70,15 @@ def test_pack_table(spark, odd_docs, documents):
             assert by[d["doc_id"]] == word_library.encode(d["text"] or "", add_special_tokens=False).ids + [1]
     assert packing.pack(odd_docs, WORD).filter("start = 0").count() == odd_docs.count()
     assert packing.pack(odd_docs.limit(0), WORD).count() == 0
+
+
+def test_other_files_are_refused(spark, odd_docs):
+    """A file that splits or normalises otherwise would give wrong counts."""
+    with pytest.raises(ValueError):
+        tokens.Counter(WORD)
+    with pytest.raises(ValueError):
+        tokens.Encoder(BYTE)
+    with pytest.raises(ValueError):
+        tokens.count_tokens(odd_docs, WORD, 10)
+    with pytest.raises(ValueError):
+        packing.pack(odd_docs, BYTE)

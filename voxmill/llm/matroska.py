@@ -22,7 +22,7 @@ from .common import bounded_batches, slices
 
 # Element ids of the public Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, VOID, CRC32 = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0xEC, 0xBF
-DOC_TYPE, TIMESTAMP_SCALE, DURATION = 0x4282, 0x2AD7B1, 0x4489
+DOC_TYPE, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x4282, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -239,7 +239,7 @@ def write(payload: bytes) -> bytes:
     if not payload or len(payload) % FRAME:
         raise ValueError(f"the payload must be a positive multiple of {FRAME} bytes")
     ms, span = FRAME * 1000 // HERTZ, FRAME * LACED
-    head = _element(INFO, _number(TIMESTAMP_SCALE, 1_000_000) + _element(DURATION, struct.pack(">d", len(payload) // FRAME * ms))) + _TRACK
+    head = _element(INFO, _number(TIMESTAMP_SCALE, 1_000_000) + _element(DURATION, struct.pack(">d", len(payload) // FRAME * ms)) + _element(MUXING_APP, b"voxmill") + _element(WRITING_APP, b"voxmill")) + _TRACK
     parts, cues, at = [head], [], len(head)
     for start in range(0, len(payload), span * BLOCKS):
         time, blocks = start // FRAME * ms, []
@@ -268,13 +268,13 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     A file that can't be parsed, or is null, gives one row with null packet
     fields and the reason in error. Other columns are not read.
     """
-    bounded_batches(df.sparkSession, 64)
+    bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", "packet", "track", "codec", "timestamp_ns", "begin", "size", "error"]
     types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             owner, rows = [], []
             for i, value in enumerate(batch.column(1)):
                 try:

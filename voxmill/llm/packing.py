@@ -41,6 +41,7 @@ def pack(df: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col:
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     bounded_batches(df.sparkSession)
+    Encoder(path)  # refuses a file of another kind here rather than on the executors
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * with_ids
 

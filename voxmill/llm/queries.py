@@ -20,7 +20,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_chat(own.unionByName(extra)))
+    return chat.digests(chat.format_chat(own.unionByName(extra)), in_order=True)
 
 
 OP2_SQL = r"""
@@ -64,22 +64,23 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    found = lambda term: rf"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
+    found = lambda term: rf"regexp_matches(low, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
     hits = lambda terms: "[x FOR x IN [" + ", ".join(f"CASE WHEN {found(t)} THEN '{t}' END" for t in sorted(terms)) + "] IF x IS NOT NULL]"
+    weight = " + ".join(f"CASE WHEN {found(t)} THEN {w}::DOUBLE ELSE 0 END" for t, w in urls.SOFT.items())
     fits = lambda r: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     ordered = sorted(urls.RULES, key=lambda r: -len(r.name))
     case = lambda of: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{of(r)}'" for r in ordered) + " END"
     return rf"""
-WITH p AS (
-  SELECT page_id, url,
-         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
-         {hits(urls.STRICT)} AS strict_hits, {hits(urls.SOFT)} AS soft_hits
-  FROM pages
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, lower(coalesce(url, '')) AS low FROM pages), p AS (
+  SELECT page_id,
+         translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+         {hits(urls.STRICT)} AS strict_hits, {hits(urls.SOFT)} AS soft_hits, {weight} AS soft_weight
+  FROM u
 ), r AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM p)
 SELECT page_id, host, path, rule,
-       coalesce(ruled, CASE WHEN len(strict_hits) > 0 OR len(soft_hits) >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,
-       strict_hits, soft_hits
+       coalesce(ruled, CASE WHEN len(strict_hits) > 0 OR (len(soft_hits) >= {urls.SOFT_HITS} AND soft_weight >= {urls.SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_hits, soft_weight
 FROM r
 """
 

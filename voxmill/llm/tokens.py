@@ -12,6 +12,7 @@ goes through the library.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,30 @@ def _load(path: str):
     return tokenizer
 
 
+def _settings(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:  # the vocabulary file, which every machine has
+        whole = json.load(f)
+    model = {k: v for k, v in whole["model"].items() if k not in ("vocab", "merges")}
+    return {"normalizer": whole.get("normalizer"), "pre_tokenizer": whole.get("pre_tokenizer"), "model": model}
+
+
+def _require(path: str, **expected) -> None:
+    """ValueError unless the file splits and normalises as the code that is to read it does."""
+    found = _settings(path)
+    for key, want in expected.items():
+        own = found["model"].get(key) if key in ("type", "end_of_word_suffix", "byte_fallback") else found[key]
+        if own != want:
+            raise ValueError(f"{path}: {key} is {own!r}; only {want!r} is supported here")
+
+
+def _byte_level(regex: bool) -> dict:
+    return {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": regex}
+
+
+# Fixed value: the published pre-token pattern of word-end BPE.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stays, the others follow from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -74,6 +99,7 @@ class Counter:
     def __init__(self, path: str, proven: frozenset[bytes] | None = None):
         import regex
 
+        _require(path, type="BPE", normalizer=None, pre_tokenizer=_byte_level(True), end_of_word_suffix=None, byte_fallback=False)
         self.tokenizer = _load(path)
         self.merge = self.tokenizer.model.tokenize
         self.table = {b: c for c, b in _byte_chars().items()}
@@ -121,13 +147,15 @@ class Encoder:
     def __init__(self, path: str):
         import regex
 
+        steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        _require(path, type="BPE", normalizer={"type": "Sequence", "normalizers": steps}, pre_tokenizer={"type": "Sequence", "pretokenizers": [split, _byte_level(False)]}, end_of_word_suffix="</w>", byte_fallback=False)
         self.tokenizer = _load(path)
         self.merge = self.tokenizer.model.tokenize
         self.table = {b: c for c, b in _byte_chars().items()}
         # Characters that normalisation leaves alone but for case; all other chunks go through the library whole.
         self.plain = regex.compile("[\x21-\x3b\x3d-\x7e\u00c0-\u00ff]+").fullmatch
-        # Fixed value: the published pre-token pattern of word-end BPE.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(WORD_PATTERN).findall
         self.known: dict[bytes, bytes] = {}
         self.merged: dict[str, list[int]] = {}
 
@@ -182,6 +210,7 @@ def count_tokens(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
     """
     spark = df.sparkSession
     bounded_batches(spark)
+    Counter(path, frozenset())  # refuses a file of another kind here rather than on the executors
     proven = spark.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
