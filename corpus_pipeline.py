@@ -8,7 +8,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import linededup, mixing, neardup, packing, toxicity
@@ -34,9 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not repeated.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))
-        several = left.join(repeated, "doc_id", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(several)
+        ranked = F.struct(F.coalesce(-F.length("text"), F.lit(1)).alias("n"), "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+        several = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(ranked).alias("row"))  # the longest; combined before the shuffle
+        left = left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select("doc_id", *(F.col("row")[c].alias(c) for c in docs.columns if c != "doc_id")))
     return left.select(*docs.columns)
 
 
