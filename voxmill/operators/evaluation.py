@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions.fixed import SENTIMENTS
-from voxmill.functions.scores import clamp, pearson, ratio, rounded, to_label
+from voxmill.functions.scores import blend, clamp, pearson, ratio, rounded, to_label
+from voxmill.session import checkpointed
 
 
 def error_metrics(df: DataFrame, human: str = "human_score", predicted: str = "predicted") -> DataFrame:
@@ -18,12 +19,24 @@ def error_metrics(df: DataFrame, human: str = "human_score", predicted: str = "p
 def value_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """by..., value, rank: the average rank of each distinct value.
 
-    Equal values are counted first, so what is ordered in one partition is one
-    row per distinct value, not per row.
+    Equal values are counted first. Without groups the distinct values are
+    then dealt to partitions by range, and ranks follow from counts within a
+    partition and the totals of those before it, so no task orders them all.
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(*by, value, (before + (F.col("_n") + 1) / 2.0).alias("rank"))
+    if by:
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.select(*by, value, (before + (F.col("_n") + 1) / 2.0).alias("rank"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(counts.repartitionByRange(parts, value).withColumn("_p", F.spark_partition_id()))
+    totals = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.sum("_n").alias("n")).collect()}  # one row per partition
+    starts, at = [], 0
+    for p in sorted(totals):
+        starts += [F.lit(p), F.lit(at).cast("long")]
+        at += totals[p]
+    start = F.create_map(*starts)[F.col("_p")] if starts else F.lit(0).cast("long")
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.select(value, (start + within + (F.col("_n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -82,54 +95,74 @@ def grid(spark: SparkSession, weights: int = 21, thresholds: int = 41) -> DataFr
     return w.crossJoin(neg.join(pos, F.col("pos") > F.col("neg")))  # 17,220 rows
 
 
-def grid_search(df: DataFrame, configs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., w, neg, pos, f1: the configuration of greatest macro-F1, the first in order (w, neg, pos) on ties.
+def _cuts(configs: DataFrame) -> list[float]:
+    return sorted({x for r in configs.select("neg", "pos").distinct().collect() for x in r})  # of the grid, 41 by default
 
-    df: by..., compound, rating, truth. Which side of a threshold a score is on
-    is all that matters, so per weight the rows are first counted by the
-    number of thresholds below and above their score; the grid then meets a
-    few hundred counts, whatever the number of rows.
-    """
-    cuts = sorted({x for r in configs.select("neg", "pos").distinct().collect() for x in r})  # of the grid, 41 by default
-    place = {x: k for k, x in enumerate(cuts)}
+
+def _placed(df: DataFrame, configs: DataFrame, cuts: list[float], by: tuple[str, ...]) -> DataFrame:
+    """by..., w, above, below, truth, k: how many rows have a score at or over `above` cuts and at or under `below`. Equal rows are counted before they meet the weights."""
     edges = F.array(*(F.lit(x) for x in cuts))
-    weights = configs.select("w").distinct()
-    at = F.create_map(*(F.lit(v) for kv in place.items() for v in kv))
-    pairs = configs.select("neg", "pos").distinct().select("neg", "pos", at[F.col("neg")].alias("kn"), at[F.col("pos")].alias("kp"))
-    score = F.col("w") * F.col("compound") + (F.lit(1.0) - F.col("w")) * ((F.col("rating") - 3) / 2.0)
-    scored = df.crossJoin(F.broadcast(weights)).withColumn("s", score)  # the grid's size is fixed
+    rows = df.groupBy(*by, "compound", "rating", "truth").agg(F.count("*").alias("k"))
+    scored = rows.crossJoin(F.broadcast(configs.select("w").distinct())).withColumn("s", blend(F.col("compound"), F.col("rating"), F.col("w")))  # the grid's size is fixed
     above = F.size(F.filter(edges, lambda t: F.col("s") >= t)).alias("above")
     below = F.size(F.filter(edges, lambda t: F.col("s") <= t)).alias("below")
-    counted = scored.groupBy(*by, "w", above, below, "truth").agg(F.count("*").alias("k"))
+    return scored.groupBy(*by, "w", above, below, "truth").agg(F.sum("k").alias("k"))
+
+
+def _met(counted: DataFrame, configs: DataFrame, cuts: list[float], by: tuple[str, ...]) -> DataFrame:
+    """by..., w, neg, pos, f1 of every configuration."""
+    at = F.create_map(*(F.lit(v) for k, x in enumerate(cuts) for v in (x, k)))
+    pairs = configs.select("neg", "pos").distinct().select("neg", "pos", at[F.col("neg")].alias("kn"), at[F.col("pos")].alias("kp"))
     label = F.when(F.col("above") > F.col("kp"), "positive").when(F.col("below") >= F.lit(len(cuts)) - F.col("kn"), "negative").otherwise("neutral")
     met = counted.crossJoin(F.broadcast(pairs)).withColumn("pred", label)
-    sums = []
+    counts = met.groupBy(*by, "w", "neg", "pos").agg(*_confusion(F.col("k")))
+    return counts.select(*by, "w", "neg", "pos", _macro().alias("f1"))
+
+
+def _confusion(k: Column) -> list[Column]:
+    out = []
     for c in SENTIMENTS:
         t, p = F.col("truth") == c, F.col("pred") == c
-        sums += [F.sum(F.when(t & p, F.col("k")).otherwise(0)).alias(f"tp_{c}"), F.sum(F.when(~t & p, F.col("k")).otherwise(0)).alias(f"fp_{c}"), F.sum(F.when(t & ~p, F.col("k")).otherwise(0)).alias(f"fn_{c}")]
-    counts = met.groupBy(*by, "w", "neg", "pos").agg(*sums)
+        out += [F.sum(F.when(t & p, k).otherwise(0)).alias(f"tp_{c}"), F.sum(F.when(~t & p, k).otherwise(0)).alias(f"fp_{c}"), F.sum(F.when(t & ~p, k).otherwise(0)).alias(f"fn_{c}")]
+    return out
+
+
+def _macro() -> Column:
     f1 = [rounded(_f1(F.col(f"tp_{c}"), F.col(f"fp_{c}"), F.col(f"fn_{c}"))[2], 3) for c in SENTIMENTS]
-    all_f1 = counts.select(*by, "w", "neg", "pos", rounded((f1[0] + f1[1] + f1[2]) / len(SENTIMENTS), 3).alias("f1"))
-    ranked = all_f1.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f1"), "w", "neg", "pos")))
+    return rounded((f1[0] + f1[1] + f1[2]) / len(SENTIMENTS), 3)
+
+
+def _best(found: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f1"), "w", "neg", "pos")))
     return ranked.filter("_n = 1").drop("_n")
 
 
+def grid_search(df: DataFrame, configs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., w, neg, pos, f1: the configuration of greatest macro-F1, the first in order (w, neg, pos) on ties.
+
+    df: by..., compound, rating, truth. Which side of a threshold a score is on
+    is all that matters, so per weight the rows are first counted by the
+    number of thresholds below and above their score; the grid then meets a
+    few hundred counts, whatever the number of rows.
+    """
+    cuts = _cuts(configs)
+    return _best(_met(_placed(df, configs, cuts, by), configs, cuts, by), by)
+
+
 def cross_validate(df: DataFrame, configs: DataFrame, k: int = 5) -> DataFrame:
     """fold, w, neg, pos, train_f1, test_f1: the best configuration on the other folds, scored on its own.
 
-    df: fold, compound, rating, truth. All folds are searched in one plan.
+    df: fold, compound, rating, truth. Rows are counted once, by fold and side
+    of the thresholds; a fold's training counts are the sums of the other
+    folds' counts. All folds are searched in one plan.
     """
+    cuts = _cuts(configs)
+    counted = _placed(df, configs, cuts, ("fold",))
     folds = df.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
-    train = df.join(F.broadcast(folds), F.col("fold") != F.col("held")).select("held", "compound", "rating", "truth")  # k rows
-    best = grid_search(train, configs, ("held",)).withColumnRenamed("f1", "train_f1")
-    test = df.join(F.broadcast(best), F.col("fold") == F.col("held"))
-    pred = to_label(F.col("w") * F.col("compound") + (F.lit(1.0) - F.col("w")) * ((F.col("rating") - 3) / 2.0), F.col("pos"), F.col("neg"))
-    scored = test.withColumn("pred", pred)
-    f1 = []
-    aggs = []
-    for c in SENTIMENTS:
-        t, p = F.col("truth") == c, F.col("pred") == c
-        aggs += [F.count_if(t & p).alias(f"tp_{c}"), F.count_if(~t & p).alias(f"fp_{c}"), F.count_if(t & ~p).alias(f"fn_{c}")]
-        f1.append(rounded(_f1(F.col(f"tp_{c}"), F.col(f"fp_{c}"), F.col(f"fn_{c}"))[2], 3))
-    per = scored.groupBy("fold", "w", "neg", "pos", "train_f1").agg(*aggs)
-    return per.select("fold", "w", "neg", "pos", "train_f1", rounded((f1[0] + f1[1] + f1[2]) / len(SENTIMENTS), 3).alias("test_f1"))
+    train = counted.join(F.broadcast(folds), F.col("fold") != F.col("held")).groupBy("held", "w", "above", "below", "truth").agg(F.sum("k").alias("k"))  # k rows
+    best = _best(_met(train, configs, cuts, ("held",)), ("held",)).withColumnRenamed("f1", "train_f1")
+    own = df.groupBy("fold", "compound", "rating", "truth").agg(F.count("*").alias("k"))
+    test = own.join(F.broadcast(best), F.col("fold") == F.col("held"))
+    scored = test.withColumn("pred", to_label(blend(F.col("compound"), F.col("rating"), F.col("w")), F.col("pos"), F.col("neg")))
+    per = scored.groupBy("fold", "w", "neg", "pos", "train_f1").agg(*_confusion(F.col("k")))
+    return per.select("fold", "w", "neg", "pos", "train_f1", _macro().alias("test_f1"))

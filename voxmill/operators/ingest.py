@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.session import checkpointed
+
 PAGE_SIZE, MAX_PAGES, OVERFETCH = 50, 10, 2
+_SPACE = " \t\n\r\x0b\x0c"
 
 
 def pages_for(limit: int) -> int:
@@ -22,32 +25,32 @@ def _label(entry: Column, key: str, default: str = "") -> Column:
     path = f"$['{key}'].label"
     node = F.try_variant_get(entry, path, "variant")
     text = F.when(F.schema_of_variant(node) == "STRING", F.try_variant_get(entry, path, "string"))
-    return F.coalesce(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), F.lit(default))
+    return F.coalesce(F.btrim(text, F.lit(_SPACE)), F.lit(default))
 
 
 def parse_feed(pages: DataFrame, column: str = "payload") -> DataFrame:
     """Review rows of JSON feed pages, page order kept in ord.
 
     entry may be an array, one object, or missing; broken JSON gives no rows.
-    Entries without a whole rating of 1 to 5 are dropped. A vote count that is
-    no number gives 0 and an author of another shape gives an empty name.
+    Entries without a whole rating of 1 to 5 are dropped: a string of digits
+    with or without sign and leading zeros, or a number, cut to its whole part.
+    votes is a whole number of any sign that fits a long; anything else gives
+    0. An author of another shape gives an empty name.
     """
     keep = [c for c in pages.columns if c != column]
     entry = F.try_variant_get(F.try_parse_json(F.col(column)), "$.feed.entry", "variant")
-    typed = pages.select(*keep, entry.alias("_e")).filter("_e IS NOT NULL").withColumn("_t", F.schema_of_variant("_e"))
-    arrays = typed.filter(F.col("_t").startswith("ARRAY")).createOrReplaceTempView
-    spark = pages.sparkSession
-    arrays("_voxmill_entries")
-    cols = "".join(f"`{c}`, " for c in keep)
-    many = spark.sql(f"SELECT {cols}v.pos AS _pos, v.value AS _e FROM _voxmill_entries, LATERAL variant_explode(_e) AS v")
-    one = typed.filter(F.col("_t").startswith("OBJECT")).select(*keep, F.lit(0).alias("_pos"), "_e")
-    e = F.col("_e")
-    rating_type = F.schema_of_variant(F.try_variant_get(e, "$['im:rating'].label", "variant"))
-    rating_text = F.try_variant_get(e, "$['im:rating'].label", "string")
-    rating = F.when(rating_type == "STRING", F.try_to_number(F.when(F.btrim(rating_text).rlike(r"^[+-]?[0-9]{1,3}$"), F.regexp_replace(F.btrim(rating_text), r"^\+", "")), F.lit("S999")).cast("int")).when(rating_type == "BIGINT", F.try_variant_get(e, "$['im:rating'].label", "int"))
+    typed = pages.select(*keep, entry.alias("_all")).filter("_all IS NOT NULL").withColumn("_t", F.schema_of_variant("_all"))
+    each = pages.sparkSession.tvf.variant_explode(F.col("_all").outer())
+    many = typed.filter(F.col("_t").startswith("ARRAY")).lateralJoin(each).select(*keep, F.col("pos").alias("_pos"), F.col("value").alias("_e"))
+    one = typed.filter(F.col("_t").startswith("OBJECT")).select(*keep, F.lit(0).alias("_pos"), F.col("_all").alias("_e"))
+    e, path = F.col("_e"), "$['im:rating'].label"
+    kind = F.schema_of_variant(F.try_variant_get(e, path, "variant"))
+    written = F.regexp_extract(F.btrim(F.try_variant_get(e, path, "string"), F.lit(_SPACE)), r"^\+?0*([1-5])$", 1)
+    number = F.try_variant_get(e, path, "double")
+    rating = F.when(kind == "STRING", F.nullif(written, F.lit("")).cast("int")).when(kind == "BOOLEAN", F.try_variant_get(e, path, "boolean").cast("int")).otherwise(F.when((number >= 1) & (number < 6), F.floor(number).cast("int")))
     votes = _label(e, "im:voteSum", "0")
     author = F.try_variant_get(e, "$.author.name.label", "string")
-    rows = many.unionByName(one).select(*keep, "_pos", _label(e, "id").alias("id"), _label(e, "title").alias("title"), _label(e, "content").alias("text"), rating.alias("rating"), F.coalesce(author, F.lit("")).alias("author"), _label(e, "im:version").alias("version"), _label(e, "updated").alias("updated"), F.when(votes.rlike("^[0-9]{1,9}$"), votes).otherwise("0").cast("int").alias("votes"))
+    rows = many.unionByName(one).select(*keep, "_pos", _label(e, "id").alias("id"), _label(e, "title").alias("title"), _label(e, "content").alias("text"), rating.alias("rating"), F.coalesce(author, F.lit("")).alias("author"), _label(e, "im:version").alias("version"), _label(e, "updated").alias("updated"), F.coalesce(F.when(votes.rlike("^[+-]?[0-9]+$"), votes.try_cast("long")), F.lit(0)).cast("long").alias("votes"))
     return rows.filter(F.col("rating").between(1, 5)).withColumnRenamed("_pos", "pos")
 
 
@@ -64,7 +67,7 @@ def seeded(seed: int, *keys: str) -> Column:
 
 
 def sample_seeded(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """n rows without replacement, all if there are no more; the same for the same seed."""
+    """n rows without replacement, the same for the same seed. All, if there are no more, in the order of the sample."""
     return df.orderBy(seeded(seed, key), key).limit(n)
 
 
@@ -80,10 +83,13 @@ def batches(df: DataFrame, size: int, order: str = "ord") -> DataFrame:
 
 
 def with_position(df: DataFrame, order: str, name: str = "ord") -> DataFrame:
-    """0-based position by `order`, from range-partitioned sorting and per-partition counts rather than one global window."""
+    """0-based position by `order`, from range-partitioned sorting and per-partition counts rather than one global window.
+
+    The sorted rows are kept in the shared folder, as counts and positions must come from the same rows.
+    """
     spark = df.sparkSession
     ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).withColumn("_mid", F.monotonically_increasing_id())
-    parts = ranged.withColumn("_p", F.shiftright("_mid", 33))
+    parts = checkpointed(ranged.withColumn("_p", F.shiftright("_mid", 33)))
     counts = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
     starts, at = {}, 0
     for p in sorted(counts):

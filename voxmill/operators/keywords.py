@@ -1,8 +1,8 @@
 """Terms that tell complaints from the rest: log-odds with an informative prior.
 
-Terms are counted once per document first, so one shuffle by (id, term) is
-followed by a small one by term; totals are one row, broadcast. Nothing is
-gathered per term, and the top k is taken before the final sort.
+A document's terms are counted within its row, so the one shuffle is by term,
+combined before it; totals come from the counts and are one row, broadcast.
+Nothing is gathered per term, and the top k is taken before the final sort.
 """
 
 from __future__ import annotations
@@ -24,10 +24,19 @@ def terms_column(title: str = "title", text: str = "text", stopwords: tuple[str,
 
 
 def document_terms(df: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """ord, complaint, term, n, pos: how often a document has a term, and where first."""
+    """ord, complaint, term, n, pos: how often a document has a term, and where first.
+
+    Terms are sorted with their places within a row; where a run of equal
+    terms begins and how long it is gives pos and n, without a shuffle.
+    """
     stems = df.select("ord", is_complaint().alias("complaint"), terms_column(stopwords=stopwords).alias("_s"))
-    terms = stems.select("ord", "complaint", F.posexplode(F.concat("_s", bigrams(F.col("_s")))).alias("pos", "term"))
-    return terms.groupBy("ord", "complaint", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    terms = stems.select("ord", "complaint", F.concat("_s", bigrams(F.col("_s"))).alias("_t"))
+    placed = terms.select("ord", "complaint", F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("_t"))
+    t = F.col("_t")
+    begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["t"] != F.get(t, i - 1)["t"]))
+    runs = placed.filter(F.size(t) > 0).select("ord", "complaint", "_t", begins.alias("_b"))
+    each = F.transform("_b", lambda i, k: F.struct(F.get(t, i)["t"].alias("term"), (F.coalesce(F.get(F.col("_b"), k + 1), F.size(t)) - i).cast("long").alias("n"), F.get(t, i)["i"].alias("pos")))
+    return runs.select("ord", "complaint", F.inline(each))
 
 
 def _z() -> Column:
@@ -39,24 +48,21 @@ def _z() -> Column:
     return (odds(y, nt) - odds(r, nr)) / F.sqrt(1.0 / (y + a) + 1.0 / (r + a))
 
 
-def document_sizes(df: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """ord, complaint, terms: how many terms a document has. Stems and bigrams follow from the number of tokens, so nothing is exploded."""
-    joined = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
-    n = F.size(tokenize(joined, stopwords))
-    return df.select("ord", is_complaint().alias("complaint"), (n + F.greatest(n - 1, F.lit(0))).alias("terms"))
+def log_odds(terms: DataFrame, min_count: int = 3, by: tuple[str, ...] = (), times: Column | None = None) -> DataFrame:
+    """by..., term, count, z (unrounded), docs, first; terms with count >= min_count. times: how often a document counts.
 
-
-def log_odds(terms: DataFrame, sizes: DataFrame, min_count: int = 3, by: tuple[str, ...] = (), times: Column | None = None) -> DataFrame:
-    """by..., term, count, z (unrounded), docs, first; terms with count >= min_count. times: how often a document counts."""
+    first orders terms by document and place: ord * 2^31 + place as a decimal, so any long and any place fit and the aggregate stays hash-based.
+    """
     t = F.lit(1) if times is None else times
     hit = F.col("complaint")
+    place = F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
     counts = terms.groupBy(*by, "term").agg(
         F.sum(F.when(hit, F.col("n") * t).otherwise(0)).alias("y"),
         F.sum(F.when(hit, 0).otherwise(F.col("n") * t)).alias("r"),
         F.sum(F.when(hit, t).otherwise(0)).alias("docs"),
-        F.min(F.when(hit, F.shiftleft("ord", 20) + F.least("pos", F.lit((1 << 20) - 1)))).alias("first"),  # one long, so that the aggregate stays hash-based
+        F.min(F.when(hit, place.cast("decimal(38,0)"))).alias("first"),
     )
-    totals = sizes.groupBy(*by).agg(F.sum(F.when(hit, F.col("terms") * t).otherwise(0)).alias("n_target"), F.sum(F.when(hit, 0).otherwise(F.col("terms") * t)).alias("n_rest"))
+    totals = counts.groupBy(*by).agg(F.sum("y").alias("n_target"), F.sum("r").alias("n_rest"))  # from the same shuffle
     frequent = counts.filter(F.col("y") >= min_count)
     joined = frequent.join(F.broadcast(totals), list(by)) if by else frequent.crossJoin(F.broadcast(totals))  # one row per group of `by`
     return joined.select(*by, "term", F.col("y").alias("count"), _z().alias("z"), "docs", "first")
@@ -67,7 +73,7 @@ def negative_keywords(df: DataFrame, top_n: int = 15, min_count: int = 3, stopwo
 
     Sorted by the rounded score, ties by first appearance. No complaints: empty.
     """
-    found = log_odds(document_terms(df, stopwords), document_sizes(df, stopwords), min_count).filter(F.col("z").isNotNull())
+    found = log_odds(document_terms(df, stopwords), min_count).filter(F.col("z").isNotNull())
     size = df.agg(F.count_if(is_complaint()).alias("size"))
     scored = found.crossJoin(F.broadcast(size)).select("term", "count", rounded(F.col("z")).alias("z_score"), (F.abs("z") >= SIGNIFICANT).alias("significant"), percent(F.col("docs"), F.col("size")).alias("share_of_corpus"), "first")
     top = scored.orderBy(F.desc("z_score"), "first", "term").limit(top_n)
@@ -83,11 +89,11 @@ def bootstrap_stability(df: DataFrame, draws: DataFrame, top_n: int = 10, min_co
     """term, rank, survived (resamples whose top_n still has it), percent.
 
     Documents are tokenised once; a resample is a join with (rep, ord, times),
-    and all resamples are scored in one aggregation.
+    and all resamples are scored in one aggregation, combined before its
+    shuffle: per task, at most reps rows for a term.
     """
     terms = document_terms(df, stopwords)
-    drawn, sizes = terms.join(draws, "ord"), document_sizes(df, stopwords).join(draws, "ord")
-    scored = log_odds(drawn, sizes, min_count, ("rep",), F.col("times")).filter(F.col("z").isNotNull())
+    scored = log_odds(terms.join(draws, "ord"), min_count, ("rep",), F.col("times")).filter(F.col("z").isNotNull())
     order = Window.partitionBy("rep").orderBy(rounded(F.col("z")).desc(), "first", "term")
     kept = scored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top_n)
     today = negative_keywords(df, top_n, min_count, stopwords).select("term", "rank")

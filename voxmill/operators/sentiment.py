@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.scores import blend, rating_score, to_label
 from voxmill.functions.text import clean_text, headline
+from voxmill.operators.providers import call
 from voxmill.session import ship
 
 #: Our own small valence lexicon, -4 to 4.
@@ -87,7 +88,7 @@ def classify(df: DataFrame, text: str, rating: str = "rating", compound: str = "
     """
     r = F.coalesce(F.col(rating), F.lit(0))
     short = F.length(F.coalesce(F.col(text), F.lit(""))) < 3
-    raw = F.when(short, rating_score(r)).otherwise(0.6 * F.col(compound) + 0.4 * rating_score(r))
+    raw = F.when(short, rating_score(r)).otherwise(blend(F.col(compound), r))
     label = to_label(raw)
     complaint = (label == "negative") | (r <= 2) | (F.when(short, F.lit(0.0)).otherwise(F.col(neg)) >= 0.12)
     return df.withColumns({"sentiment": label, "sentiment_score": F.bround(raw, 4), "has_complaint": complaint})
@@ -100,10 +101,10 @@ def prepare(df: DataFrame, full_unescape: bool = True) -> DataFrame:
     return classify(scored, "_h").withColumn("sentiment_source", F.lit("lexicon")).drop("_h", "compound", "neg")
 
 
-def score_in_batches(df: DataFrame, provider: Callable[[list[dict]], list[dict]], size: int = 15) -> DataFrame:
+def score_in_batches(df: DataFrame, provider: Callable[[list[dict]], list[dict]], size: int = 15, retries: int = 3) -> DataFrame:
     """id, score, has_complaint, error from a provider called with lists of {id, title, text}.
 
-    A batch whose call fails, or whose answer has another shape, gives rows
+    A failed call is tried again with growing waits. A batch whose call fails, or whose answer has another shape, gives rows
     with an error instead of scores; overlay() then leaves those reviews alone.
     """
     ship(df.sparkSession)
@@ -115,7 +116,7 @@ def score_in_batches(df: DataFrame, provider: Callable[[list[dict]], list[dict]]
             for at in range(0, len(rows), size):
                 batch = rows[at : at + size]
                 try:
-                    got = {str(r["id"]): (float(r["score"]), bool(r.get("has_complaint", False))) for r in provider(batch)}
+                    got = {str(r["id"]): (float(r["score"]), bool(r.get("has_complaint", False))) for r in call(provider, batch, retries=retries)}
                     out += [(r["id"], *got[str(r["id"])], None) if str(r["id"]) in got else (r["id"], None, None, "missing from response") for r in batch]
                 except Exception as e:  # any failure of a provider is the batch's failure, not the job's
                     out += [(r["id"], None, None, f"{type(e).__name__}: {e}"[:200]) for r in batch]

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions.scores import to_label
+from voxmill.session import checkpointed
 
 
-def verify_citations(cited: DataFrame, valid: DataFrame, group: str = "theme", ids: str = "cited_review_ids", valid_id: str = "id") -> DataFrame:
-    """cited with its ids cut to those of the same group that exist (order and repeats kept), citations_valid and hallucinated_citations_dropped."""
+def verify_citations(cited: DataFrame, valid: DataFrame, group: str = "theme", ids: str = "cited_review_ids", valid_id: str = "id", key: str | None = None) -> DataFrame:
+    """cited with its ids cut to those of the same group that exist (order and repeats kept), citations_valid and hallucinated_citations_dropped.
+
+    key: a column that tells the rows of cited apart. Without one they are
+    numbered and kept in the shared folder, so that both uses see the same
+    numbers.
+    """
     keep = [c for c in cited.columns if c != ids]
-    numbered = cited.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cited.withColumn("_row", F.col(key)) if key else checkpointed(cited.withColumn("_row", F.monotonically_increasing_id()))
     each = numbered.select("_row", group, F.posexplode(ids).alias("_pos", "_id"))
     known = valid.select(F.col(group), F.col(valid_id).alias("_id")).distinct().withColumn("_ok", F.lit(True))
     found = each.join(known, [group, "_id"], "left")
@@ -28,7 +34,7 @@ def verify_phrases(phrases: DataFrame, corpus: DataFrame, top_n: int = 15, cap:
     """
     shown = corpus.orderBy("ord").limit(cap).select(F.lit(0).alias("g"), "id")
     size = shown.agg(F.count("*").alias("size"))  # cap rows at most
-    checked = verify_citations(phrases.withColumn("g", F.lit(0)), shown, "g", "review_ids").filter("citations_valid").crossJoin(F.broadcast(size))
+    checked = verify_citations(phrases.withColumn("g", F.lit(0)), shown, "g", "review_ids", key="ord").filter("citations_valid").crossJoin(F.broadcast(size))
     n = F.size("review_ids")
     share = F.coalesce(F.bround(F.try_divide(n * 100.0, F.col("size").cast("double")), 1), F.lit(0.0))
     top = checked.withColumn("count", n).orderBy(F.desc("count"), "ord").limit(top_n)
@@ -90,3 +96,40 @@ def labeled_items(pool: DataFrame, labels: DataFrame, key: str = "id") -> DataFr
 def audit_items(pool: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """All pool rows, with the label's score or null."""
     return pool.join(labels.select(key, F.col("score").alias("human_score")), key, "left")
+
+
+def range_split(df: DataFrame, score: str = "score") -> tuple[DataFrame, DataFrame]:
+    """(rows whose score is within -1..1, the rest with the reason in error). A missing score is out of range."""
+    good = F.coalesce(F.col(score).between(-1, 1), F.lit(False))
+    return df.filter(good), df.filter(~good).withColumn("error", F.lit("score must be from -1 to 1"))
+
+
+def without_errors(items: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:
+    """The items that have a result without an error."""
+    good = results.filter(F.col("error").isNull()) if "error" in results.columns else results
+    return items.join(good.select(key).distinct(), key, "left_semi")
+
+
+def audited(labels: DataFrame, audits: DataFrame, key: str = "id") -> DataFrame:
+    """labels (id, score, has_complaint, ...) after a second reader's audits (id, ord, score, has_complaint, agreed).
+
+    The last valid audit of an id by ord takes over; original_score and
+    original_has_complaint keep what was there; reviewed and agreed tell.
+    Audits of ids without a label, or with a score outside -1..1, count for
+    nothing.
+    """
+    valid = audits.filter(F.col("score").between(-1, 1))
+    last = valid.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ord")))).filter("_n = 1")
+    a = last.select(F.col(key).alias("_k"), F.col("score").alias("_s"), F.col("has_complaint").alias("_c"), F.col("agreed").alias("_a"))
+    joined = labels.join(a, F.col(key) == F.col("_k"), "left")
+    hit = F.col("_k").isNotNull()
+    flag = F.coalesce("has_complaint", F.lit(False))
+    kept = [c for c in labels.columns if c not in ("score", "has_complaint")]
+    return joined.select(*kept, F.when(hit, F.col("_s")).otherwise(F.col("score")).alias("score"), F.when(hit, F.col("_c")).otherwise(flag).alias("has_complaint"), F.when(hit, F.col("score")).alias("original_score"), F.when(hit, flag).alias("original_has_complaint"), hit.alias("reviewed"), F.col("_a").alias("agreed"))
+
+
+def label_progress(pool: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """One row: total, labeled, reviewed."""
+    reviewed = F.coalesce("reviewed", F.lit(False)) if "reviewed" in labels.columns else F.lit(False)
+    own = labels.select(key, reviewed.alias("_r")).groupBy(key).agg(F.max("_r").alias("_r"))
+    return pool.select(key).join(own, key, "left").agg(F.count("*").alias("total"), F.count("_r").alias("labeled"), F.count_if("_r").alias("reviewed"))

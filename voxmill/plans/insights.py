@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators import keywords, metrics, themes
-
-
-class ProviderError(RuntimeError):
-    """A model's answer is missing or has another shape."""
+from voxmill.operators.providers import ProviderError
 
 
 def actions_and_summary(rating: dict, sentiment: dict, found: list[dict], corpus: int) -> tuple[list[str], str]:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import scores as S
 from voxmill.functions import text as T
-from voxmill.functions.fixed import EXPORT_COLUMNS, STOPWORDS, THEMES
+from voxmill.functions.fixed import ADVICE, EXPORT_COLUMNS, STOPWORDS, THEMES
 from voxmill.operators import evaluation, ingest, keywords, metrics, sentiment, similarity, themes, verify
+from voxmill.sources import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,7 +213,7 @@ def length_buckets(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, source, doc_id // 50 AS page FROM documents)
-  SELECT page, CAST(doc_id AS VARCHAR) AS id, source AS title, CAST(doc_id % 5 + 1 AS INTEGER) AS rating, 'who' AS author, CAST(doc_id % 9 AS INTEGER) AS votes FROM d WHERE doc_id % 11 <> 0""")
+  SELECT page, CAST(doc_id AS VARCHAR) AS id, source AS title, CAST(doc_id % 5 + 1 AS INTEGER) AS rating, 'who' AS author, CAST(doc_id % 9 AS BIGINT) AS votes FROM d WHERE doc_id % 11 <> 0""")
 def feed_parse(spark, sf_dir):
     label = lambda c: F.struct(c.cast("string").alias("label"))
     n = F.col("doc_id")
@@ -257,27 +258,33 @@ def batch_assign(spark, sf_dir):
 
 
 @query("""SELECT CAST(i // 200 AS INTEGER) AS rep, CAST(('0x' || substr(md5('7:' || CAST(i AS VARCHAR)), 1, 12))::BIGINT % 200 AS BIGINT) AS ord, count(*) AS times
-  FROM range(4000) r(i) GROUP BY 1, 2""")
+  FROM range(40000) r(i) GROUP BY 1, 2""")
 def bootstrap_draws(spark, sf_dir):
-    return ingest.bootstrap_draws(spark, 200, 20, 7)
+    return ingest.bootstrap_draws(spark, 200, 200, 7)
 
 
-@query("SELECT concat_ws('/', n_name, r_name) AS name, n_nationkey AS app_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), 'a')")
+@query("""SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS app_id, r_name AS developer FROM nation JOIN region ON n_regionkey = r_regionkey
+  WHERE contains(lower(n_name), 'an') ORDER BY length(n_name), n_nationkey LIMIT 10""")
 def app_search(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    found = n.filter(F.contains(F.lower("n_name"), F.lit("a"))).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # region has five rows
-    return found.select(F.concat_ws("/", "n_name", "r_name").alias("name"), F.col("n_nationkey").alias("app_id"))
+    apps = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("app_id"), F.col("r_name").alias("developer"))
+    return feed.search_apps(apps, " AN ", 10)
 
 
-@query("SELECT s_suppkey AS app_id, s_name AS name, s_acctbal AS store_rating FROM supplier WHERE s_suppkey = 7")
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS app_id, s_name AS name, s_address AS developer, CAST(s_acctbal AS DOUBLE) AS store_rating, CAST(s_nationkey AS BIGINT) AS store_rating_count, s_phone AS url
+  FROM supplier WHERE s_suppkey = 7""".replace("s_address", "s_name").replace("s_phone", "NULL::VARCHAR"))
 def app_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").filter("s_suppkey = 7").select(F.col("s_suppkey").alias("app_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("store_rating"))
+    s_ = table(spark, sf_dir, "supplier")
+    raw = s_.select(F.col("s_suppkey").alias("trackId"), F.col("s_name").alias("trackName"), F.col("s_name").alias("sellerName"), F.col("s_acctbal").alias("averageUserRating"), F.col("s_nationkey").alias("userRatingCount"), F.lit(None).cast("string").alias("trackViewUrl"))
+    found = feed.app_info(raw)
+    return spark.createDataFrame([feed.lookup_app(found, 7)], found.schema)
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT '000/' || CAST(doc_id AS VARCHAR) AS path, text AS payload FROM documents UNION ALL SELECT '001/' || CAST(page_id AS VARCHAR), html FROM pages")
 def union_pages(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return d.filter("id % 3 = 0").unionByName(d.filter("id % 2 = 0"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("payload"))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("payload"))
+    return feed.union_of_orders(d, p)
 
 
 @query(f"""WITH {_REVIEWS} SELECT id, rating, title, text, NULL::VARCHAR AS author, NULL::VARCHAR AS version, NULL::VARCHAR AS updated, NULL::VARCHAR AS votes,
@@ -310,7 +317,8 @@ def label_thresholds(spark, sf_dir):
 
 @query(f"WITH {_SCORED} SELECT id, predicted BETWEEN -1 AND 1 AS valid FROM scored")
 def score_range(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", F.col("predicted").between(-1, 1).alias("valid"))
+    good, bad = verify.range_split(scored(spark, sf_dir).select("id", "predicted"), "predicted")
+    return good.select("id", F.lit(True).alias("valid")).unionByName(bad.select("id", F.lit(False).alias("valid")))
 
 
 # ---- keywords and themes
@@ -354,6 +362,19 @@ def theme_quotes_topk(spark, sf_dir):
     return themes.theme_quotes(reviews(spark, sf_dir))
 
 
+def _analysis_sql() -> str:
+    advice = " ".join(f"WHEN {i} THEN '{ADVICE[name]}'" for i, (name, _) in enumerate(THEMES))
+    return f"""WITH {_themes_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY theme_ord ORDER BY length(text) DESC, ord) AS n FROM hits),
+  q AS (SELECT theme_ord, list(CASE WHEN length(text) > 280 THEN regexp_replace(left(text, 280), ' [^ ]*$', '', 's') || '…' ELSE text END ORDER BY n) AS sample_quotes FROM r WHERE n <= 2 GROUP BY theme_ord),
+  s AS (SELECT theme_ord, theme, count(*) AS negative_reviews, {_pct('count(*)', 'any_value(size)')} AS share_of_negative, round_even(avg(rating), 2) AS avg_rating FROM hits, size GROUP BY theme_ord, theme)
+  SELECT theme, negative_reviews, share_of_negative, avg_rating, CASE theme_ord {advice} END AS recommendation, sample_quotes FROM s JOIN q USING (theme_ord)"""
+
+
+@query(_analysis_sql())
+def theme_analysis(spark, sf_dir):
+    return themes.theme_analysis(reviews(spark, sf_dir))
+
+
 # ---- joins with model output and labels
 
 
@@ -379,15 +400,15 @@ def upgrade_overlay(spark, sf_dir):
     return verify.overlay(own, results).drop("ord")
 
 
-@query("""WITH c AS (SELECT doc_id, source AS theme, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id + 20 AS VARCHAR), CAST(doc_id + 1 AS VARCHAR), CAST(doc_id AS VARCHAR)]) AS cid, unnest([1, 2, 3, 4]) AS p FROM documents WHERE doc_id % 20 = 0),
+@query("""WITH c AS (SELECT doc_id, source AS theme, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id + 20 AS VARCHAR), CAST(doc_id + 1 AS VARCHAR), CAST(doc_id AS VARCHAR)]) AS cid, unnest([1, 2, 3, 4]) AS p FROM documents),
   v AS (SELECT source AS theme, CAST(doc_id AS VARCHAR) AS id FROM documents),
   j AS (SELECT c.*, v.id IS NOT NULL AS ok FROM c LEFT JOIN v ON c.theme = v.theme AND c.cid = v.id)
   SELECT doc_id, theme, coalesce(list(cid ORDER BY p) FILTER (WHERE ok), []) AS cited_review_ids, bool_or(ok) AS citations_valid, count(*) FILTER (WHERE NOT ok) AS hallucinated_citations_dropped FROM j GROUP BY doc_id, theme""")
 def verify_citations(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
-    cited = d.filter("doc_id % 20 = 0").select("doc_id", F.col("source").alias("theme"), F.array(n.cast("string"), (n + 20).cast("string"), (n + 1).cast("string"), n.cast("string")).alias("cited_review_ids"))
-    return verify.verify_citations(cited, d.select(F.col("source").alias("theme"), n.cast("string").alias("id")))
+    cited = d.select("doc_id", F.col("source").alias("theme"), F.array(n.cast("string"), (n + 20).cast("string"), (n + 1).cast("string"), n.cast("string")).alias("cited_review_ids"))
+    return verify.verify_citations(cited, d.select(F.col("source").alias("theme"), n.cast("string").alias("id")), key="doc_id")
 
 
 @query(f"""WITH {_REVIEWS}, shown AS (SELECT id FROM reviews WHERE {_COMPLAINT} ORDER BY ord LIMIT 150), s AS (SELECT count(*) AS size FROM shown),
@@ -485,6 +506,16 @@ def spearman(spark, sf_dir):
     return evaluation.spearman(scored(spark, sf_dir), "human_score", "predicted")
 
 
+@query(f"""WITH {_SCORED}, e AS (SELECT human_score AS h, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, predicted)) AS p FROM scored), r AS (SELECT *, {_rank_sql("h")} AS a, {_rank_sql("p")} AS b FROM e),
+  m AS (SELECT count(*) AS n, round_even(avg(abs(h - p)), 4) AS mae, round_even(sqrt(avg((h - p) * (h - p))), 4) AS rmse, round_even(coalesce(corr(a, b), 0), 4) AS spearman FROM r),
+  lp AS (SELECT {_label_sql("h")} AS t, {_label_sql("p")} AS p FROM e),
+  c AS (SELECT s.c AS label, count(*) FILTER (WHERE t = s.c AND p = s.c) AS tp, count(*) FILTER (WHERE t <> s.c AND p = s.c) AS fp, count(*) FILTER (WHERE t = s.c AND p <> s.c) AS fn FROM (VALUES ('positive'), ('neutral'), ('negative')) s(c), lp GROUP BY s.c),
+  f AS (SELECT round_even(coalesce(2 * (tp / nullif(tp + fp, 0)::DOUBLE) * (tp / nullif(tp + fn, 0)::DOUBLE) / nullif(tp / nullif(tp + fp, 0)::DOUBLE + tp / nullif(tp + fn, 0)::DOUBLE, 0), 0), 3) AS f1 FROM c)
+  SELECT n, mae, rmse, spearman, (SELECT round_even(sum(f1) / 3, 3) FROM f) AS macro_f1 FROM m""")
+def evaluate(spark, sf_dir):
+    return evaluation.evaluate(scored(spark, sf_dir))
+
+
 @query(f"""WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn
     FROM (SELECT has_complaint AS t, rating <= 2 AS p FROM scored)), d AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS pr, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS rc FROM c)
   SELECT tp, fp, fn, tn, round_even(pr, 3) AS precision, round_even(rc, 3) AS recall, round_even(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 3) AS f1, tp + fn AS support_true FROM d""")

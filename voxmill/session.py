@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,3 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="voxmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, for plans that read it twice and must see the same rows."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -33,12 +33,13 @@ def reviews_from_pages(pages: DataFrame, order: str = "path") -> DataFrame:
 
 
 def collect(pages: DataFrame, limit: int, seed: int = 42, order: str = "path") -> DataFrame:
-    """At most `limit` reviews: all, or a seeded sample. Pages with an error are passed over unless all failed."""
+    """At most `limit` reviews: all as they came, or a seeded sample. Pages with an error are passed over unless all failed."""
     pages_for(limit)
     good = pages.filter(F.col("error").isNull()) if "error" in pages.columns else pages
     if "error" in pages.columns and good.isEmpty() and not pages.isEmpty():
         raise Upstream(pages.select("error").first()[0])
-    return sample_seeded(reviews_from_pages(good.drop("error"), order), limit, seed)
+    found = reviews_from_pages(good.drop("error"), order)
+    return found if found.limit(limit + 1).count() <= limit else sample_seeded(found, limit, seed)
 
 
 def union_of_orders(*parts: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def lookup_app(apps: DataFrame, app_id: int) -> dict:
 
 def app_info(raw: DataFrame) -> DataFrame:
     """The six app fields under our names."""
-    names = {"trackId": "app_id", "trackName": "name", "artistName": "developer", "averageUserRating": "store_rating", "userRatingCount": "store_rating_count", "trackViewUrl": "url"}
+    names = {"trackId": "app_id", "trackName": "name", "sellerName": "developer", "averageUserRating": "store_rating", "userRatingCount": "store_rating_count", "trackViewUrl": "url"}
     types = {"app_id": "long", "store_rating": "double", "store_rating_count": "long"}
     return raw.select(*(F.col(a).cast(types.get(b, "string")).alias(b) for a, b in names.items()))
 
@@ -86,11 +87,27 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         url = self.options["url"].format(page=partition.value)
         try:
-            payload = self.fetch(url)
-            json.loads(payload)
-            yield (f"{partition.value:03d}", payload, None)
+            yield (f"{partition.value:03d}", json.dumps(get_json(url, self.fetch), ensure_ascii=False), None)
         except Exception as e:  # a page that fails is a row, and other pages go on
-            yield (f"{partition.value:03d}", None, f"{type(e).__name__}: {e}")
+            yield (f"{partition.value:03d}", None, str(e) if isinstance(e, Upstream) else f"{type(e).__name__}: {e}")
+
+
+def get_json(url: str, fetch: Callable[[str], str] | None = None) -> dict:
+    """The JSON object at a URL; every failure is an Upstream: a status, no connection, or an answer of another kind."""
+    from http.client import HTTPException
+    from urllib.error import HTTPError
+
+    try:
+        found = json.loads((fetch or _http)(url))
+    except HTTPError as e:
+        raise Upstream(f"status {e.code} from {url}") from e
+    except (OSError, HTTPException) as e:
+        raise Upstream(f"no answer from {url}: {e}") from e
+    except ValueError as e:
+        raise Upstream(f"no JSON from {url}") from e
+    if not isinstance(found, dict):
+        raise Upstream(f"no JSON object from {url}")
+    return found
 
 
 def _http(url: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +57,41 @@ def export_rows(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and CRLF; booleans as True and False."""
     flag = F.when(F.col("has_complaint"), "True").when(~F.col("has_complaint"), "False")
-    export_rows(df).withColumn("has_complaint", flag).write.mode("overwrite").option("lineSep", "\n").csv(path, header=True, quote='"', escape='"')
+    export_rows(df).withColumn("has_complaint", flag).write.mode("overwrite").option("lineSep", "\r\n").csv(path, header=True, quote='"', escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:
     export_rows(df).write.mode("overwrite").json(path)
+
+
+def download(rows: DataFrame, app: dict) -> dict:
+    """A batch as one document: app, collected_at, reviews. For batches of the collection limit, which is bounded."""
+    own = rows.orderBy("ord") if "ord" in rows.columns else rows
+    at = rows.agg(F.max("collected_at")).first()[0] if "collected_at" in rows.columns else None
+    return {"app": app, "collected_at": at, "reviews": [r.asDict() for r in export_rows(own).collect()]}
+
+
+# ---- evaluation files
+
+
+def read_pool(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, text, rating, ... of a pool file ({"app_id": .., "items": [..]}), with ord, its place in the file."""
+    whole = spark.read.option("multiLine", True).json(path)
+    return whole.select(F.posexplode("items").alias("ord", "r")).select("ord", "r.*")
+
+
+def read_by_id(spark: SparkSession, path: str, fields: str = "score double, has_complaint boolean, note string") -> DataFrame:
+    """id and fields of a file that maps ids to objects, such as labels or a score cache; missing fields are null."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", f"map<string,struct<{_struct(fields)}>>")).alias("id", "r")).select("id", "r.*")
+
+
+def _struct(fields: str) -> str:
+    return ",".join(":".join(f.split(None, 1)) for f in fields.split(", "))
+
+
+def write_artifact(value: dict | list, path: str) -> None:
+    """An evaluation result as JSON, readable and with its letters as they are."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
