@@ -73,20 +73,33 @@ def _draw(seed: int, *keys: Column) -> Column:
     return F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
-def _exchange(own: Column, p: Column, mass: Column, words: Column, draw: Column) -> tuple[Column, Column]:
-    """One document of `own` words and probability p meets a pool of `words` words, `mass` of them expected: (its new p, the pool's new mass).
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once: within an aggregate nothing else shares what is written twice."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _exchange(own: Column, p: Column, mass: Column, words: Column, draw: Column) -> Column:
+    """One document of `own` words and probability p meets a pool of `words` words, `mass` of them expected: struct(p, mass), the new ones.
 
     The direction is drawn so that both means stay. Only where the pool can
     take the exchange in one direction alone, that one is taken: the document
     would stay open for good, and its rounding cost the source its target.
     """
-    up, down = F.least((1 - p) * own, mass), F.least(p * own, words - mass)
-    can_rise, can_fall = (1 - p) * own <= mass, p * own <= words - mass
-    rises = F.when(can_rise & ~can_fall, True).when(can_fall & ~can_rise, False).otherwise(draw * (up + down) < down)
-    moved = F.when(rises, up).otherwise(-down)
-    settled = F.when(rises, up == (1 - p) * own).otherwise(down == p * own)
-    new = F.when(settled, F.when(rises, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p + moved / own)))
-    return new, mass - moved
+
+    def ways(s: Column) -> Column:
+        rise, fall = (1 - s["p"]) * s["own"], s["p"] * s["own"]
+        return F.struct(rise.alias("rise"), fall.alias("fall"), F.least(rise, s["mass"]).alias("up"), F.least(fall, s["words"] - s["mass"]).alias("down"), (rise <= s["mass"]).alias("can_rise"), (fall <= s["words"] - s["mass"]).alias("can_fall"))
+
+    def move(s: Column, w: Column) -> Column:
+        rises = F.when(w["can_rise"] & ~w["can_fall"], True).when(w["can_fall"] & ~w["can_rise"], False).otherwise(s["draw"] * (w["up"] + w["down"]) < w["down"])
+        return _let(rises, lambda r: F.when(r, result(s, w["up"], w["up"] == w["rise"], 1.0)).otherwise(result(s, -w["down"], w["down"] == w["fall"], 0.0)))
+
+    def result(s: Column, moved: Column, settled: Column, end: float) -> Column:
+        new = F.when(settled, F.lit(end)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["p"] + moved / s["own"])))
+        return F.struct(new.alias("p"), (s["mass"] - moved).alias("mass"))
+
+    both = F.struct(own.alias("own"), p.alias("p"), mass.alias("mass"), words.alias("words"), draw.alias("draw"))
+    return _let(both, lambda s: _let(ways(s), lambda w: move(s, w)))
 
 
 def _meet(acc: Column, x: Column, seed: int) -> Column:
@@ -97,25 +110,31 @@ def _meet(acc: Column, x: Column, seed: int) -> Column:
     add + times * first; open, the document that is left if the pool settled
     before it; done.
     """
-    words, mass = acc["words"] - x["size"], acc["mass"] - x["size"] * x["p"]
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["add"] + acc["times"] * x["p"]))
-    now = F.greatest(F.lit(0.0), F.least(words, acc["add"] * words + acc["times"] * mass))  # of the pool
-    new, after = _exchange(x["size"].cast("double"), p, now, words, _draw(seed, x["doc_id"], x["k"], x["r"], x["dup"]))
-    # the pool's probabilities shrink towards 0, or towards 1, in proportion
-    fall, rise = F.coalesce(F.try_divide(after, now), F.lit(0.0)), F.coalesce(F.try_divide(words - after, words - now), F.lit(0.0))
-    shrinks = after <= now
-    add = F.when(shrinks, acc["add"] * fall).otherwise(1 - (1 - acc["add"]) * rise)
-    times = acc["times"] * F.when(shrinks, fall).otherwise(rise)
-    left = acc["open"].isNotNull()  # the pool has settled, but for rounding of the sums
-    whole = left | (new == 0) | (new == 1)
-    keys = [x[c].alias(c) for c in _KEYS]
-    held = F.struct(*keys, x["size"].alias("size"), new.alias("p")).cast(_DOC)
-    done = F.struct(*keys, (F.when(left, p).otherwise(new) >= 0.5).cast("int").alias("more")).cast(_DONE)
-    return F.struct(
-        words.alias("words"), mass.alias("mass"), add.alias("add"), times.alias("times"),
-        F.when(whole, acc["open"]).otherwise(held).alias("open"),
-        F.when(whole, F.concat(acc["done"], F.array(done))).otherwise(acc["done"]).alias("done"),
-    ).cast(_STATE)
+    none, whole_ = F.lit(0.0), F.lit(1.0)
+    rest = F.struct((acc["words"] - x["size"]).alias("words"), (acc["mass"] - x["size"] * x["p"]).alias("mass"), F.greatest(none, F.least(whole_, acc["add"] + acc["times"] * x["p"])).alias("p"))
+
+    def meet(b: Column) -> Column:
+        now = F.greatest(none, F.least(b["words"], acc["add"] * b["words"] + acc["times"] * b["mass"]))  # of the pool
+        draw = _draw(seed, x["doc_id"], x["k"], x["r"], x["dup"])
+        return _let(now, lambda m: _let(_exchange(x["size"].cast("double"), b["p"], m, b["words"], draw), lambda e: end(b, m, e)))
+
+    def end(b: Column, now: Column, e: Column) -> Column:
+        # the pool's probabilities shrink towards 0, or towards 1, in proportion
+        shrinks = e["mass"] <= now
+        part = F.coalesce(F.when(shrinks, F.try_divide(e["mass"], now)).otherwise(F.try_divide(b["words"] - e["mass"], b["words"] - now)), none)
+        left = acc["open"].isNotNull()  # the pool has settled, but for rounding of the sums
+        whole = left | (e["p"] == 0) | (e["p"] == 1)
+        keys = [x[c].alias(c) for c in _KEYS]
+        held = F.struct(*keys, x["size"].alias("size"), e["p"].alias("p")).cast(_DOC)
+        done = F.struct(*keys, (F.when(left, b["p"]).otherwise(e["p"]) >= 0.5).cast("int").alias("more")).cast(_DONE)
+        return _let(F.struct(part.alias("part"), whole.alias("whole")), lambda f: F.struct(
+            b["words"].alias("words"), b["mass"].alias("mass"),
+            F.when(shrinks, acc["add"] * f["part"]).otherwise(1 - (1 - acc["add"]) * f["part"]).alias("add"), (acc["times"] * f["part"]).alias("times"),
+            F.when(f["whole"], acc["open"]).otherwise(held).alias("open"),
+            F.when(f["whole"], F.concat(acc["done"], F.array(done))).otherwise(acc["done"]).alias("done"),
+        ).cast(_STATE))
+
+    return _let(rest, meet)
 
 
 def _level(open_: DataFrame, level: int, fan: int, seed: int) -> DataFrame:
@@ -169,8 +188,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
     parts, left = _settled(open_.filter("giant").select(*columns), fan, seed - 1)
     pools = open_.filter("NOT giant").groupBy("source").agg(F.sum(F.col("size").cast("double")).alias("words"), F.max("p").alias("shared"))
     last = left.select(*columns).join(pools.select(F.col("source").alias("s"), "words", "shared"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    p, mass = _exchange(F.col("size").cast("double"), F.col("p"), F.col("shared") * F.col("words"), F.col("words"), _draw(seed - 2, *map(F.col, _KEYS)))
-    met = written(last.select(*(c for c in columns if c != "p"), p.alias("p"), F.coalesce(F.try_divide(mass, F.col("words")), F.lit(0.0)).alias("pool")), "mix-giants")  # a row per source at most
+    exchanged = last.withColumn("e", _exchange(F.col("size").cast("double"), F.col("p"), F.col("shared") * F.col("words"), F.col("words"), _draw(seed - 2, *map(F.col, _KEYS))))
+    met = written(exchanged.select(*(c for c in columns if c != "p"), F.col("e.p").alias("p"), F.coalesce(F.try_divide(F.col("e.mass"), F.col("words")), F.lit(0.0)).alias("pool")), "mix-giants")  # a row per source at most
     parts.append(met.select("source", *_KEYS, (F.col("p") >= 0.5).cast("int").alias("more")))
     pool = met.select(F.col("source").alias("s"), F.when(F.col("pool") < 1e-12, 0.0).when(F.col("pool") > 1 - 1e-12, 1.0).otherwise(F.col("pool")).alias("pool"))
     small = open_.filter("NOT giant").join(pool, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("p", F.coalesce("pool", "p")).select(*columns)
