@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ import corpus_pipeline as C
 from tests.oracle import connect, same
 from voxmill.llm import linededup, mixing, toxicity
 from voxmill.llm import queries as Q
+from voxmill.llm.common import only, release, written
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -122,3 +124,22 @@ def test_odd_rows(spark, sf_dir, odd_docs):
     left = check_stages(spark, sf_dir, docs)
     assert left[0] == docs.count() and left[-1] > 0
     assert check_stages(spark, sf_dir, docs.limit(0)) == [0] * 5
+
+
+def tables(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "voxmill"
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_intermediate_tables_go(spark):
+    """What a scope writes is deleted at its end, but for what it keeps."""
+    before = tables(spark)
+    with only("kept") as keep:
+        part = written(spark.range(10), "part")
+        with only("inner") as inner:
+            held = inner(written(part, "gone").filter("id > 4"))
+        assert len(tables(spark) - before) == 2
+        out = keep(held.filter("id > 7"))
+    assert {n.split("-")[0] for n in tables(spark) - before} == {"kept"} and out.count() == 2
+    release()
+    assert not tables(spark) & {n for n in tables(spark) if n.startswith("kept")}

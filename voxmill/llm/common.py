@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +21,21 @@ SLICE_BYTES = 8 << 20
 #: Rows that Spark puts in one Arrow batch for the operators that carry whole texts.
 BATCH_ROWS = 512
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[_Table] = []
+_scope: ContextVar[list[_Table] | None] = ContextVar("voxmill-scope", default=None)
+
+
+@dataclass
+class _Table:
+    """A written table and what it takes to delete it, which works after the session has stopped, too."""
+
+    path: str
+    jvm: object
+    conf: object
+
+    def delete(self) -> None:
+        target = self.jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.conf).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,25 +48,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/voxmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    own = _scope.get()
+    (_written if own is None else own).append(_Table(path, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def only(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, written() tables last until its end; what is passed to the function it gives is written under `name` and outlives it.
+
+        with only("stage") as kept:
+            docs = kept(stage(spark, docs, sf_dir))
+    """
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = written(df, name)
+        (_written if outer is None else outer).append(own.pop())
+        return out
+
+    try:
+        yield kept
+    finally:
+        _scope.reset(token)
+        for t in own:
+            t.delete()
+
+
 def release() -> None:
-    """Delete all tables made by written(); their readers fail afterwards. Runs at exit."""
+    """Delete all tables made by written() so far; their readers fail afterwards. Runs at exit."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; its owner clears the folder
+            _written.pop().delete()
+        except Exception:  # the JVM is gone; the owner of the folder clears it
             return
 
 
 atexit.register(release)
 
 
+def give_back() -> None:
+    """Hand memory that this process no longer uses to the system, where allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Let an Arrow batch hold no more than `rows` rows, so long texts cannot fill a worker; and let workers import this package."""
     ship(spark)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import bounded_batches, slices, written
+from .common import bounded_batches, give_back, slices, written
 
 #: Labelled rows that are learned from, at most: those first in the order of a hash of their ids.
 EXAMPLES = 6000
@@ -224,7 +224,7 @@ class Index:
         order = np.lexsort((np.where(spread[term] * 2 > n, 0, spread[term]), row))
         own[row[order]] = term[order]
         places = np.lexsort((ids, labels, own))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[places] = np.arange(n)
         row = place[row]
         order = np.lexsort((row, term))
@@ -402,21 +402,24 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_co
     bounded_batches(documents.sparkSession)
     sample = _sample(documents, labels, examples, id_col, text_col)
     rows = _counted(sample)
-    toxic = rows.column("toxic").to_numpy().astype(float)
+    toxic, ids = rows.column("toxic").to_numpy().astype(float), rows.column("doc_id").to_numpy()
     rate = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < rate < 1:
         return Model(None, base=rate)
     lists = rows.column("terms").combine_chunks()
-    row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     vocabulary, term = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    count = rows.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    term, count = term.astype(np.int32), rows.column("counts").combine_chunks().flatten().to_numpy()
+    del rows, lists
     n, df = _frequencies(documents, vocabulary, text_col)
     hits = np.bincount(term, toxic[row], minlength=len(vocabulary))
     factor = (np.log((n + 1) / (df + 1)) + 1) * association(hits, np.bincount(term, minlength=len(vocabulary)) - hits, toxic.sum(), len(toxic) - toxic.sum())
-    model = Model(documents.sparkSession.sparkContext.broadcast((vocabulary, Index.build(rows.column("doc_id").to_numpy(), toxic, row, term, count, factor))))
+    model = Model(documents.sparkSession.sparkContext.broadcast((vocabulary, Index.build(ids, toxic, row, term, count, factor))))
     bare = np.bincount(row, minlength=len(toxic)) == 0
     model.base = float((toxic[bare].sum() + rate) / (bare.sum() + 1))
+    del row, term, count
     _calibrate(model, sample)
+    give_back()
     return model
 
 
