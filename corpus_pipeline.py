@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import linededup, mixing, neardup, packing, toxicity
-from voxmill.llm.common import table, written
+from voxmill.llm.common import only, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with only(f"stage-{name.replace(' ', '-')}") as kept:  # a stage's own tables go when its result is there
+            docs = kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
