@@ -2,6 +2,7 @@
 
 import json
 import urllib.error
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import numpy as np
 import pytest
@@ -252,3 +253,38 @@ def test_first_appearance_of_large_ids(spark):
     df = spark.createDataFrame(rows, "ord long, title string, text string, has_complaint boolean, sentiment string")
     terms = [r["term"] for r in keywords.negative_keywords(df).orderBy("rank").collect()]
     assert terms.index("yak") < terms.index("zebra")
+
+
+def test_bootstrap_query_against_plain_version(spark, sf_dir):
+    """All 200 resamples of bootstrap_stability as one product of matrices."""
+    df = R.reviews(spark, sf_dir).select("id", keywords.terms_column().alias("s"), R.S.is_complaint().alias("c")).collect()
+    df.sort(key=lambda r: int(r["id"]))
+    docs = [[*r["s"], *(f"{a} {b}" for a, b in zip(r["s"], r["s"][1:], strict=False))] for r in df]
+    names = sorted({t for d in docs for t in d})
+    at = {t: k for k, t in enumerate(names)}
+    n, place = np.zeros((len(docs), len(names))), np.full((len(docs), len(names)), np.inf)
+    for i, d in enumerate(docs):
+        for p, t in enumerate(d):
+            n[i, at[t]] += 1
+            place[i, at[t]] = min(place[i, at[t]], i * 2.0**31 + p)
+    hit = np.array([r["c"] for r in df])
+    times = np.zeros((200, len(docs)))
+    for r in ingest.bootstrap_draws(spark, len(docs), 200).collect():
+        times[r["rep"], r["ord"]] = r["times"]
+
+    def top(t, k):
+        y, r = t[hit] @ n[hit], t[~hit] @ n[~hit]
+        a, nt, nr = y + r, y.sum(), r.sum()
+        with np.errstate(all="ignore"):
+            odds = lambda x, total: np.log((x + a) / (total + nt + nr - x - a))
+            z = (odds(y, nt) - odds(r, nr)) / np.sqrt(1 / (y + a) + 1 / (r + a))
+        some = np.flatnonzero((y >= 3) & np.isfinite(z))
+        z = np.array([float(Decimal(repr(float(x))).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for x in z[some]])
+        first = place[hit & (t > 0)][:, some].min(axis=0)
+        return [names[some[i]] for i in sorted(range(len(some)), key=lambda i: (-z[i], first[i], names[some[i]]))[:k]]
+
+    today = top(np.ones(len(docs)), 10)
+    kept = [set(top(t, 10)) for t in times]
+    want = {(t, k + 1, sum(t in s for s in kept)) for k, t in enumerate(today)}
+    got = R.bootstrap_stability(spark, sf_dir).collect()
+    assert {(r["term"], r["rank"], r["survived"]) for r in got} == want and all(r["percent"] == r["survived"] / 2 for r in got)

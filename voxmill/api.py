@@ -10,7 +10,7 @@ from voxmill.plans import insights as I  # noqa: E741
 from voxmill.plans import report
 from voxmill.sources import feed
 from voxmill.sources.feed import NotFound
-from voxmill.sources.store import Store, export_rows
+from voxmill.sources.store import Store, download, export_rows
 
 SORTS, FORMATS = ("mostrecent", "mosthelpful"), ("json", "csv")
 
@@ -47,6 +47,11 @@ class Service:
     def reviews(self, app_id: int, country: str = "us") -> DataFrame:
         return export_rows(self.batch(app_id, country))
 
+    def download(self, app_id: int, country: str = "us") -> dict:
+        """The batch as one JSON document: app, collected_at, reviews."""
+        app = feed.lookup_app(self.apps, app_id) if self.apps is not None else {"app_id": app_id}
+        return download(self.batch(app_id, country), app)
+
     def report(self, app_id: int, country: str = "us", kind: str = "html") -> str:
         app = feed.lookup_app(self.apps, app_id) if self.apps is not None else {"app_id": app_id}
         return {"html": report.html, "md": report.markdown}[kind](app, self.insights(app_id, country))

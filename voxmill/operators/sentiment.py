@@ -15,14 +15,14 @@ from voxmill.functions.text import clean_text, headline
 from voxmill.operators.providers import call
 from voxmill.session import ship
 
-#: Our own small valence lexicon, -4 to 4.
+#: Our own valence lexicon, -4 to 4.
 LEXICON = {w: float(v) for v, words in {
-    3: "amazing awesome excellent love loved loves perfect best fantastic wonderful brilliant",
-    2: "good great happy helpful like liked nice recommend easy beautiful enjoy enjoyed fun useful reliable fast smooth thanks",
-    1: "fine ok okay decent works clear better improved simple",
-    -1: "slow confusing expensive lacks missing annoying hard problem problems issue issues disappointing boring",
-    -2: "bad poor crash crashes crashed crashing bug bugs bugged broken wrong error errors fail fails failed frustrating refund stuck spam misleading unfair",
-    -3: "terrible horrible awful worst hate hated useless scam garbage worthless disgusting fraud trash rubbish waste",
+    3: "amazing awesome excellent love loved loves perfect perfectly best fantastic wonderful brilliant outstanding superb phenomenal flawless incredible exceptional delightful",
+    2: "good great happy helpful like liked likes nice recommend recommended easy beautiful enjoy enjoyed enjoying fun useful reliable fast smooth smoothly thanks glad intuitive accurate insightful impressive impressed pleased satisfied friendly comfortable relaxing motivating valuable trustworthy responsive",
+    1: "fine ok okay decent works working clear better improved simple stable interesting solid fair affordable handy convenient",
+    -1: "slow slower confusing confused expensive lacks lacking missing annoying hard difficult problem problems issue issues disappointing disappointed boring limited outdated clunky laggy repetitive vague generic pricey unclear unnecessary complicated",
+    -2: "bad poor poorly crash crashes crashed crashing bug bugs bugged buggy broken wrong error errors fail fails failed failing frustrating frustrated refund stuck spam spammy misleading unfair unusable unreliable inaccurate glitch glitches freezes frozen overpriced greedy unhelpful unresponsive angry upset deceptive ignored overcharged shady rude sad worse",
+    -3: "terrible terribly horrible horribly awful worst hate hated hates useless scam scammed scammers garbage worthless disgusting disgusted fraud fraudulent trash rubbish waste wasted pathetic predatory stole stolen theft appalling atrocious",
 }.items() for w in words.split()}
 NEGATIONS = frozenset("not no never none nobody cannot cant can't dont don't doesnt doesn't didnt didn't isnt isn't wasnt wasn't wont won't without hardly".split())
 BOOSTERS = {"very": 0.3, "really": 0.3, "so": 0.3, "extremely": 0.3, "totally": 0.3, "absolutely": 0.3, "too": 0.2, "slightly": -0.3, "somewhat": -0.3, "kinda": -0.3}
