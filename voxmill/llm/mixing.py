@@ -153,7 +153,7 @@ def _settled(open_: DataFrame, fan: int, seed: int) -> tuple[list[DataFrame], Da
     """What the tree settles (source, keys, more), and the last document of each source (source, keys, size, p)."""
     parts, level = [], 0
     while True:
-        counts = open_.groupBy("source").agg(F.count("*").alias("n_open"))
+        counts = written(open_.groupBy("source").agg(F.count("*").alias("n_open")), "mix-counts")  # a row per source, so Spark sees its size and deals no hot source to one task
         most = counts.agg(F.max("n_open")).first()[0] or 0
         if level and most <= 1 or not most:
             return parts, open_
@@ -182,11 +182,11 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
     planned = written(joined.withColumn("base", base).withColumn("p", F.when((rate - F.col("base") > 1e-12) & (F.col("size") > 0), rate - F.col("base")).otherwise(0.0)), "mix-planned")
 
     # a source's open documents share one probability; giants settle first and move it
-    mean = planned.filter("p > 0").groupBy("source").agg((F.avg("size") * GIANT).alias("limit"))
+    mean = written(planned.filter("p > 0").groupBy("source").agg((F.avg("size") * GIANT).alias("limit")), "mix-means")
     open_ = planned.filter("p > 0").join(mean.select(F.col("source").alias("s"), "limit"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("giant", F.col("size") > F.col("limit"))
     columns = ["source", *_KEYS, "size", "p"]
     parts, left = _settled(open_.filter("giant").select(*columns), fan, seed - 1)
-    pools = open_.filter("NOT giant").groupBy("source").agg(F.sum(F.col("size").cast("double")).alias("words"), F.max("p").alias("shared"))
+    pools = written(open_.filter("NOT giant").groupBy("source").agg(F.sum(F.col("size").cast("double")).alias("words"), F.max("p").alias("shared")), "mix-pools")
     last = left.select(*columns).join(pools.select(F.col("source").alias("s"), "words", "shared"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     exchanged = last.withColumn("e", _exchange(F.col("size").cast("double"), F.col("p"), F.col("shared") * F.col("words"), F.col("words"), _draw(seed - 2, *map(F.col, _KEYS))))
     met = written(exchanged.select(*(c for c in columns if c != "p"), F.col("e.p").alias("p"), F.coalesce(F.try_divide(F.col("e.mass"), F.col("words")), F.lit(0.0)).alias("pool")), "mix-giants")  # a row per source at most
