@@ -49,7 +49,7 @@ def tokenize(c: Column, stopwords: tuple[str, ...] = STOPWORDS, min_length: int
     return F.filter(raw_tokens(c), lambda t: (F.length(t) >= min_length) & ~t.isin(*stopwords))  # becomes a hash set
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value) with value worked out once."""
     return F.transform(F.array(value), body)[0]
 
@@ -77,8 +77,8 @@ def stem(w: Column, lowered: bool = False) -> Column:
     def rules(w: Column) -> Column:
         n = F.length(w)
         cut = (
-            F.when(_ends(w, "ing") & (n > 6), _let(_chop(w, 3), _undouble))
-            .when(_ends(w, "ed") & (n > 5), _let(_chop(w, 2), _undouble))
+            F.when(_ends(w, "ing") & (n > 6), let(_chop(w, 3), _undouble))
+            .when(_ends(w, "ed") & (n > 5), let(_chop(w, 2), _undouble))
             .when(_ends(w, "ies") & (n > 6), F.concat(_chop(w, 3), F.lit("y")))
             .when((n > 6) & _ends(w, "ches", "shes", "xes", "sses", "zes"), _chop(w, 2))
             .when(_ends(w, "es") & (n > 5), _chop(w, 1))
@@ -87,9 +87,9 @@ def stem(w: Column, lowered: bool = False) -> Column:
             .otherwise(w)
         )
         silent = lambda c: F.when(c.endswith("e") & (F.length(c) > 4) & ~_ends(c, "ee", "ye", "oe"), _chop(c, 1)).otherwise(c)
-        return F.when(n <= 4, w).otherwise(_let(cut, silent))
+        return F.when(n <= 4, w).otherwise(let(cut, silent))
 
-    return rules(w) if lowered else _let(F.lower(w), rules)
+    return rules(w) if lowered else let(F.lower(w), rules)
 
 
 def bigrams(tokens: Column) -> Column:

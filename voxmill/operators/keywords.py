@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.fixed import STOPWORDS
 from voxmill.functions.scores import is_complaint, percent, rounded
-from voxmill.functions.text import bigrams, stem, tokenize
+from voxmill.functions.text import bigrams, let, stem, tokenize
 
 SIGNIFICANT = 1.96
 
@@ -29,14 +29,15 @@ def document_terms(df: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> Dat
     Terms are sorted with their places within a row; where a run of equal
     terms begins and how long it is gives pos and n, without a shuffle.
     """
-    stems = df.select("ord", is_complaint().alias("complaint"), terms_column(stopwords=stopwords).alias("_s"))
-    terms = stems.select("ord", "complaint", F.concat("_s", bigrams(F.col("_s"))).alias("_t"))
-    placed = terms.select("ord", "complaint", F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("_t"))
-    t = F.col("_t")
-    begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["t"] != F.get(t, i - 1)["t"]))
-    runs = placed.filter(F.size(t) > 0).select("ord", "complaint", "_t", begins.alias("_b"))
-    each = F.transform("_b", lambda i, k: F.struct(F.get(t, i)["t"].alias("term"), (F.coalesce(F.get(F.col("_b"), k + 1), F.size(t)) - i).cast("long").alias("n"), F.get(t, i)["i"].alias("pos")))
-    return runs.select("ord", "complaint", F.inline(each))
+    stems = df.select("ord", is_complaint().alias("complaint"), F.explode(F.array(terms_column(stopwords=stopwords))).alias("_s"))  # one row a row; what follows cannot be merged with it and repeat it
+    both = stems.select("ord", "complaint", F.explode(F.array(F.concat("_s", bigrams(F.col("_s"))))).alias("_t"))
+
+    def runs(t: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (t[i]["t"] != F.get(t, i - 1)["t"]))
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(t[i]["t"].alias("term"), (F.coalesce(F.get(b, k + 1), F.size(t)) - i).cast("long").alias("n"), t[i]["i"].alias("pos"))))
+
+    placed = F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    return both.filter(F.size("_t") > 0).select("ord", "complaint", F.inline(let(placed, runs)))
 
 
 def _z() -> Column:
