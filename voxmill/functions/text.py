@@ -29,13 +29,14 @@ def clean_text(c: Column, full: bool = True) -> Column:
     """Unescape, drop tags and links, straighten single quotes, collapse white space. Null gives an empty text.
 
     full: unescape all entities (an Arrow function) instead of the usual ones.
+    White space includes the separators U+001C to U+001F.
     """
     c = F.coalesce(c, F.lit(""))
     c = unescape_html(c) if full else unescape_common(c)
     c = F.regexp_replace(c, "<[^>]+>", " ")
     c = F.regexp_replace(c, r"(?U)https?://\S+|www\.\S+", " ")
     c = F.translate(c, "’‘", "''")
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def raw_tokens(c: Column) -> Column:
