@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_reviews import entry, parsed
-from voxmill.operators import evaluation, ingest, keywords, providers, similarity, verify
+from voxmill.operators import evaluation, ingest, keywords, providers, resampling, similarity, verify
 from voxmill.plans import model_themes as M
 from voxmill.plans import registry as R
 from voxmill.sources import feed, store
@@ -288,3 +288,33 @@ def test_bootstrap_query_against_plain_version(spark, sf_dir):
     want = {(t, k + 1, sum(t in s for s in kept)) for k, t in enumerate(today)}
     got = R.bootstrap_stability(spark, sf_dir).collect()
     assert {(r["term"], r["rank"], r["survived"]) for r in got} == want and all(r["percent"] == r["survived"] / 2 for r in got)
+
+
+def test_python_stems_are_those_of_the_columns(spark, sf_dir):
+    df = R.reviews(spark, sf_dir)
+    odd = ["running hopped cities dishes buses passes glasses freely ease agree dye shoe bees less bus this", "ıİK won't RE-TRY -a a' it''s x--y ’s", "", None]
+    df = df.select("text").unionByName(spark.createDataFrame([(t,) for t in odd], "text string")).withColumn("title", F.lit(None).cast("string"))
+    stems = resampling.stemmer()
+    for r in df.select(F.lower(F.coalesce("text", F.lit(""))).alias("t"), keywords.terms_column().alias("s")).collect():
+        assert stems(r["t"]) == r["s"]
+
+
+@pytest.mark.parametrize("first, held", [(10_000, 50_000), (12, 7), (1, 50_000)])
+def test_bootstrap_counts_no_more_terms_than_can_lead(spark, monkeypatch, first, held):
+    """The leaders are those of all terms, however few are counted at first; terms that cannot lead are never counted per resample."""
+    monkeypatch.setattr(resampling, "FIRST", first)
+    monkeypatch.setattr(resampling, "HELD", held)
+    counted, count = [], resampling._counted
+    monkeypatch.setattr(resampling, "_counted", lambda base, wanted, *rest: counted.extend(wanted) or count(base, wanted, *rest))
+    r = np.random.default_rng(5)
+    words = [a + b + c for a in "bcdfgk" for b in "aou" for c in ("lmo", "rna", "tpa")]
+    rows = [(1000 - i, "", " ".join(words[k] for k in np.minimum(r.zipf(1.3, 30) + (5 * (i % 3 == 0)), len(words)) - 1), i % 3 == 0, "positive") for i in range(60)]
+    df = spark.createDataFrame(rows, "ord long, title string, text string, has_complaint boolean, sentiment string")
+    draws = [(k, int(o), int(t)) for k in range(7) for o, t in zip(*np.unique(941 + r.integers(0, 60, 60), return_counts=True), strict=True)]
+    got = keywords.bootstrap_stability(df, spark.createDataFrame(draws, "rep int, ord long, times long"), 5, reps=7).collect()
+    terms = keywords.document_terms(df)
+    top = lambda t: [x["term"] for x in sorted(t.collect(), key=lambda x: (-round(x["z"], 2), x["first"], x["term"]))[:5]]
+    kept = [top(keywords.log_odds(terms.join(spark.createDataFrame([d[1:] for d in draws if d[0] == k], "ord long, times long"), "ord"), times=F.col("times")).filter("z IS NOT NULL").select("term", F.bround("z", 2).alias("z"), "first")) for k in range(7)]
+    today = top(keywords.log_odds(terms).filter("z IS NOT NULL").select("term", F.bround("z", 2).alias("z"), "first"))
+    assert sorted((x["rank"], x["term"], x["survived"]) for x in got) == [(k + 1, t, sum(t in s for s in kept)) for k, t in enumerate(today)]
+    assert len(counted) == len(set(counted)) and (first > 12 or len(counted) < terms.select("term").distinct().count())

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from voxmill.functions.fixed import STOPWORDS
 from voxmill.functions.scores import is_complaint, percent, rounded
 from voxmill.functions.text import bigrams, let, stem, tokenize
+from voxmill.operators.resampling import leaders
+from voxmill.session import checkpointed
 
 SIGNIFICANT = 1.96
 
@@ -89,14 +91,10 @@ def document_frequency(df: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) ->
 def bootstrap_stability(df: DataFrame, draws: DataFrame, top_n: int = 10, min_count: int = 3, reps: int = 200, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """term, rank, survived (resamples whose top_n still has it), percent.
 
-    Documents are tokenised once; a resample is a join with (rep, ord, times),
-    and all resamples are scored in one aggregation, combined before its
-    shuffle: per task, at most reps rows for a term.
+    draws: rep (from 0, below reps), ord, times. All resamples and df itself
+    are counted together, see resampling.
     """
-    terms = document_terms(df, stopwords)
-    scored = log_odds(terms.join(draws, "ord"), min_count, ("rep",), F.col("times")).filter(F.col("z").isNotNull())
-    order = Window.partitionBy("rep").orderBy(rounded(F.col("z")).desc(), "first", "term")
-    kept = scored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top_n)
-    today = negative_keywords(df, top_n, min_count, stopwords).select("term", "rank")
-    hits = kept.groupBy("term").agg(F.count("*").alias("survived"))
+    found = checkpointed(leaders(df, draws, _z(), top_n, min_count, reps, stopwords))
+    today = found.filter(F.col("rep") == reps).select("term", "rank")
+    hits = found.filter(F.col("rep") < reps).groupBy("term").agg(F.count("*").alias("survived"))
     return today.join(hits, "term", "left").select("term", "rank", F.coalesce("survived", F.lit(0)).alias("survived"), percent(F.coalesce("survived", F.lit(0)), F.lit(reps)).alias("percent"))
